@@ -11,6 +11,7 @@ windows are never fingerprinted. The test is lossless, needs no shuffle, and lea
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -61,6 +62,19 @@ def hamming_blocks(blocks: int, radius: int) -> list[tuple[int, list[int]]]:
     return out
 
 
+def _membership(hashes: list[int]):
+    """A test whether a Column is one of the hashes: a hash table that folds to one constant.
+
+    A list of literals would do, but each is a node of the plan, through which every rule walks.
+    """
+    size = 1 << max(4, len(hashes).bit_length())
+    buckets: list[list[int]] = [[] for _ in range(size)]
+    for h in hashes:
+        buckets[h & (size - 1)].append(h)
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
+    return lambda h: F.array_contains(F.get(table, h.bitwiseAND(F.lit(size - 1)).cast("int")), h)
+
+
 def _needed(size: str, similarity: float) -> str:
     return f"cast(ceil({2 * similarity / (1 + similarity)!r}D * {size} - 1e-9D) as int)"
 
@@ -86,7 +100,6 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, similari
 
 
 def _one_pass(docs: DataFrame, items: DataFrame, words: int, similarity: float, radius: int, blocks: int, id_col: str, text_col: str) -> DataFrame:
-    spark = docs.sparkSession
     shingles = items.select("k", F.explode("s").alias("h")).distinct()
     hashes = [r["h"] for r in shingles.select("h").distinct().collect()]  # PASS_SHINGLES and one item's more at most
     sizes = [r["k"] for r in items.select("k").distinct().collect()]
@@ -96,17 +109,19 @@ def _one_pass(docs: DataFrame, items: DataFrame, words: int, similarity: float,
     # Documents with enough shingles of items within a window's reach; no shuffle.
     text = F.col(text_col).cast("string")
     rows = _with_shingles(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")), "text", words)
-    among = f"s[i] in ({', '.join(f'{h}L' if h != -(1 << 63) else 'bigint(-9223372036854775808)' for h in hashes) or 'null'})"
-    rows = rows.withColumn("p", F.expr(f"filter(sequence(0, greatest(size(s) - 1, 0)), i -> i < size(s) and {among})"))
-    near = f"size(p) >= {least} and exists(sequence(0, greatest(size(p) - {least}, 0)), i -> p[i + {least - 1}] - p[i] < {longest})"
-    suspects = rows.where(near).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "s", "p")
+    # The row's number keeps the filter above this projection: below it, p would be worked out for each element.
+    among = _membership(hashes)
+    found = F.filter(F.expr("sequence(0, greatest(size(s) - 1, 0))"), lambda i: among(F.get("s", i))).alias("p")
+    rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "s", found)
+    near = f"size(p) >= {least} and exists(sequence(0, greatest(size(p) - {least}, 0)), i -> get(p, i + {least - 1}) - get(p, i) < {longest})"
+    suspects = rows.where(near).select("rid", "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "s", "p")
     suspects = written(suspects, "suspects")
 
     # Windows of each item length that hold enough of its shingles.
     hits = suspects.select("rid", F.explode(F.expr("transform(p, i -> struct(i as pos, s[i] as h))")).alias("x")).select("rid", "x.pos", "x.h")
     hits = hits.join(shingles, "h").groupBy("rid", "k").agg(F.sort_array(F.collect_set("pos")).alias("p"))  # a document's own positions
     hits = hits.withColumn("need", F.expr(_needed("k", similarity))).where("size(p) >= need")
-    firsts = F.expr("filter(p, (x, i) -> i + need - 1 < size(p) and p[i + need - 1] - x < k)")
+    firsts = F.expr("filter(p, (x, i) -> get(p, i + need - 1) - x < k)")
     starts = F.expr("explode(array_distinct(flatten(transform(f, x -> sequence(greatest(x - (k - need), 0), x)))))")
     windows = hits.withColumn("f", firsts).where("size(f) > 0").select("rid", "k", starts.alias("start"))
     windows = windows.join(suspects.select("rid", "s"), "rid").where("start + k <= size(s)").select("rid", "k", "start", F.expr("slice(s, start + 1, k)").alias("s"))
@@ -127,7 +142,8 @@ def _one_pass(docs: DataFrame, items: DataFrame, words: int, similarity: float,
     counted = items.select("item", "item_id", F.explode("s").alias("h")).groupBy("item", "item_id", "h").agg(F.count("*").alias("c")).groupBy("item", "item_id").agg(F.collect_list(F.struct("h", "c")).alias("counts"))
     both = pairs.join(windows.select("rid", "k", "start", "s"), ["rid", "k", "start"]).join(counted, "item")
     shared = F.expr("aggregate(counts, 0L, (a, x) -> a + least(x.c, cast(size(filter(s, h -> h = x.h)) as bigint)))")
-    scored = both.select("rid", "k", "start", "item", "item_id", "distance", shared.alias("shared")).withColumn("similarity", F.expr("shared / (2D * k - shared)")).where(F.col("similarity") >= similarity)
+    scored = both.select("rid", "k", "start", "item", "item_id", "distance", shared.alias("shared")).where(F.col("shared") >= F.expr(_needed("k", similarity)))
+    scored = scored.withColumn("similarity", F.expr("shared / (2D * k - shared)"))
     best = scored.groupBy("rid", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "k", "distance", "item_id")).alias("b"))
     found = best.join(suspects.select("rid", "doc_id", "text_md5"), "rid")
     return found.select("doc_id", "text_md5", F.col("b.item_id").alias("item_id"), F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word"), (F.col("b.k") + (words - 1)).cast("long").alias("n_words"), F.col("b.distance").cast("int").alias("distance"))
