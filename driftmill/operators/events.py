@@ -26,6 +26,8 @@ class Events:
 
     def __init__(self, df: DataFrame):
         self.df = flatten(df)
+        self.path: tuple = ()  # the branches that are open, each as (its if, its arm)
+        self.born: dict[str, list[tuple]] = {}  # the branches in which a field got values
 
     @property
     def names(self) -> list[str]:
@@ -66,6 +68,12 @@ class Events:
             out = out | self.get(n).isNotNull()
         return out
 
+    def exclusive(self, name: str) -> bool:
+        """Whether all that set a field did so in other arms of an open branch, so that it has no value here."""
+        here = dict(self.path)
+        paths = self.born.get(name, [()])
+        return all(any(here.get(branch, arm) != arm for branch, arm in path) for path in paths)
+
     def set(self, name: str, value: Column, guard: Column | None = TRUE) -> Events:
         return self.set_all({name: value}, guard)
 
@@ -76,10 +84,14 @@ class Events:
         kinds = self.df.select(*(v.alias(f"c{i}") for i, v in enumerate(values.values()))).schema
         made = {}
         for (name, value), kind in zip(values.items(), kinds):
+            if not self.has(name) or name in self.born:
+                self.born.setdefault(name, []).append(self.path)
             if guard is not None:
                 old = self.get(name)
                 if self.has(name) and self.dtype(name) != kind.dataType and not isinstance(kind.dataType, T.NullType):
-                    if isinstance(self.dtype(name), T.ArrayType) != isinstance(kind.dataType, T.ArrayType):
+                    if isinstance(self.dtype(name), T.ArrayType) and not isinstance(kind.dataType, T.ArrayType):
+                        old, value = F.to_json(old), value.cast("string")
+                    elif isinstance(self.dtype(name), T.ArrayType) != isinstance(kind.dataType, T.ArrayType):
                         old, value = self._as_list(old, self.dtype(name)), self._as_list(value, kind.dataType)
                     else:
                         old, value = old.cast("string"), value.cast("string")

@@ -285,8 +285,11 @@ def run_filters(e: Events, body: list, guard: Column | None = None) -> Events:
             holds = both(open_, holds)
             e.df = e.df.withColumn(name, F.coalesce(holds, F.lit(False)))
             names.append(name)
-        for name, (_, arm) in zip(names, step.arms):
+        outer = e.path
+        for i, (name, (_, arm)) in enumerate(zip(names, step.arms)):
+            e.path = (*outer, (id(step), i))
             e = run_filters(e, arm, F.col(f"`{name}`"))
+        e.path = outer
         e.df = e.df.drop(*names)
     return e
 
@@ -296,11 +299,8 @@ def common(e: Events, p: Plugin, guard: Column | None) -> Events:
     for name, value in (p.get("add_field") or {}).items():
         for v in value if isinstance(value, list) else [value]:
             target, made = field_name(name), interpolate(e, str(v))
-            if e.has(target):
-                hold = e.get(target).isNotNull()
-                e.df = e.df.withColumn("@metadata._v", made)
-                e = e.append(target, F.col("`@metadata._v`"), both(guard, hold)).set(target, F.array(F.col("`@metadata._v`")) if e.is_array(target) else F.col("`@metadata._v`"), both(guard, ~hold)) if not _sure(e, target) else e.append(target, F.col("`@metadata._v`"), guard)
-                e.df = e.df.drop("@metadata._v")
+            if e.has(target) and not e.exclusive(target):
+                e = e.append(target, made, guard)
             else:
                 e = e.set(target, made, guard)
     for name in _list(p.get("remove_field")):
@@ -314,10 +314,6 @@ def common(e: Events, p: Plugin, guard: Column | None) -> Events:
     return e
 
 
-def _sure(e: Events, name: str) -> bool:
-    return not e.df.schema[name].nullable
-
-
 def _list(v) -> list:
     return [] if v is None else v if isinstance(v, list) else [v]
 
