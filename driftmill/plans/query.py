@@ -380,7 +380,9 @@ class QueryCompiler:
         named = [k for k in body if k not in known]
         if len(named) != 1:
             raise Refused("geo_distance takes exactly one field")
-        return self.distance(self.fields.get(named[0]), point(body[named[0]])) <= metres(body["distance"])
+        within, center = metres(body["distance"]), point(body[named[0]])
+        field = self.fields.find(named[0])
+        return F.lit(False) if field.kind == "string" else self.distance(field, center) <= within
 
     def distance(self, f: Field, to: tuple[float, float]) -> Column:
         """Metres along a great circle between a (lat, lon) and a field of lon and lat."""
