@@ -54,7 +54,8 @@ class WordMemoEncoder:
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         added = [re.escape(t.content) for t in self.full.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join(["[^\\n\\x20-\\x7e\\xa1-\\u024f]", *added])).search
-        self.word = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        self.word = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        self.spaced_word = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         self.kind = self._kind(json.loads(self.full.to_str()))
         if sys.byteorder != "little":
             self.kind = ""
@@ -91,7 +92,8 @@ class WordMemoEncoder:
             return self._whole(unit)
         if self.kind == "dropped":
             unit = unit.lower() if unit.isascii() else self.full.normalizer.normalize_str(unit)
-        pieces = [unit] if self.word(unit) else self.split(unit)
+        alone = self.word if self.kind == "dropped" else self.spaced_word
+        pieces = [unit] if alone(unit) else self.split(unit)
         known = self.pieces
         found = []
         for piece in pieces:
