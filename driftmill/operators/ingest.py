@@ -7,14 +7,16 @@ pipeline's, run on such events alone, and the event goes on only where a handler
 
 from __future__ import annotations
 
+import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Refused
-from ..functions import grok, painless
+from ..functions import grok, painless, painless_run
 from .events import Events
 from .logstash import agent_fields, both, f_geoip, in_network, read_date, size_in_bytes, without_empty_tail, Plugin
 
@@ -32,7 +34,7 @@ def template(e: Events, text) -> Column:
 
 
 class ContextScript(painless._Compiler):
-    """Scripts over ctx: reads, assignments, if, remove and add; no loops."""
+    """Scripts over ctx as Columns: reads, assignments, if, remove and add; loops are interpreted instead."""
 
     def __init__(self, events: Events, params: dict, guard):
         super().__init__(None, params)
@@ -397,7 +399,60 @@ class Pipelines:
 
     def p_script(self, e, o, g, depth):
         source, params = painless.script_of({k: v for k, v in o.items() if k in ("source", "lang", "params", "id")})
-        ContextScript(e, params, g).apply(painless.parse(source), {}, g)
+        before = e.df
+        try:
+            ContextScript(e, params, g).apply(painless.parse(source), {}, g)
+        except Refused:
+            if "outputs" not in o:
+                raise
+            e.df = before
+            self.interpreted(e, source, params, o["outputs"], g)
+
+    def interpreted(self, e: Events, source: str, params: dict, outputs: str, g: Column) -> None:
+        """A script with loops or lambdas, run on each event; ``outputs`` (a DDL text, an option of this engine) types what it sets."""
+        fields = [n for n in e.names if not n.startswith("@metadata")]
+        wanted = T.StructType.fromDDL(outputs).names
+
+        @F.arrow_udf("out string, removed array<string>, error string")
+        def run(events: pa.Array) -> pa.Array:
+            script, rows = painless_run.Interpreter(source, params), []
+            for text in events:
+                if text.as_py() is None:
+                    rows.append({"out": None, "removed": [], "error": None})
+                    continue
+                ctx: dict = {}
+                for name, v in json.loads(text.as_py()).items():
+                    *path, last = name.split(".")
+                    holder = ctx
+                    for p in path:
+                        holder = holder.setdefault(p, {})
+                    holder[last] = v
+                try:
+                    script.run(ctx)
+                except (painless_run.ScriptError, TypeError, ValueError, KeyError, IndexError, ZeroDivisionError, AttributeError, RecursionError) as x:
+                    rows.append({"out": None, "removed": [], "error": str(x) or type(x).__name__})
+                    continue
+
+                def at(name: str):
+                    v = ctx
+                    for p in name.split("."):
+                        v = v.get(p) if isinstance(v, dict) else None
+                    return v
+
+                rows.append({"out": json.dumps({n: at(n) for n in wanted}), "removed": [n for n in fields if at(n) is None], "error": None})
+            return pa.array(rows, pa.struct([("out", pa.string()), ("removed", pa.list_(pa.string())), ("error", pa.string())]))
+
+        whole = F.to_json(F.struct(*(F.col(f"`{n}`") for n in fields)))
+        e.df = e.df.withColumn("@metadata._s", run(F.when(F.coalesce(g, F.lit(False)), whole)))
+        s = F.col("`@metadata._s`")
+        ok = g & s.getField("error").isNull()
+        self.fail(e, F.concat(F.lit("runtime error: "), s.getField("error")), g & s.getField("error").isNotNull())
+        made = F.from_json(s.getField("out"), outputs)
+        gone = {n: F.lit(None).cast(e.dtype(n)) for n in fields if n not in wanted}
+        for n, nothing in gone.items():
+            e.set(n, F.when(F.array_contains(s.getField("removed"), n), nothing).otherwise(e.get(n)), ok)
+        e.set_all({n: made.getField(n) for n in wanted}, ok)
+        e.df = e.df.drop("@metadata._s")
 
     def p_reroute(self, e, o, g, depth):
         kind, data, space = (o.get(k) or d for k, d in (("type", "logs"), ("dataset", "generic"), ("namespace", "default")))

@@ -105,6 +105,7 @@ process("uri_parts", "pages", [{"uri_parts": {"field": "url", "keep_original": F
 process("registered_domain", "pages", [{"registered_domain": {"field": "host", "target_field": "d"}}], ["page_id", "`d.registered_domain` AS r", "`d.subdomain` AS s"], "SELECT page_id, array_to_string(list_slice(string_split(h, '.'), -2, -1), '.') AS r, nullif(array_to_string(list_slice(string_split(h, '.'), 1, -3), '.'), '') AS s FROM (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS h FROM pages)", ["page_id", "regexp_extract(url, '://([^/]+)', 1) AS host"])
 process("fingerprint", "events", [{"fingerprint": {"fields": ["user_id", "event_type"], "method": "MD5", "target_field": "fp"}}], ["event_id", "lower(hex(unbase64(fp))) AS fp"], "SELECT event_id, md5('|event_type|' || event_type || '|user_id|' || user_id) AS fp FROM events")
 process("script", "events", [{"script": {"source": "def v = ctx.value; if (v > 40) { ctx.size_class = 'large' } else if (v > params.low) { ctx.size_class = 'middle' } else { ctx.size_class = 'small'; ctx.remove('props') } ctx.twice = v * 2", "params": {"low": 10}}}], ["event_id", "size_class", "props", "round(twice, 4) AS twice"], "SELECT event_id, CASE WHEN value > 40 THEN 'large' WHEN value > 10 THEN 'middle' ELSE 'small' END AS size_class, CASE WHEN value > 10 THEN props END AS props, round(value * 2, 4) AS twice FROM events")
+process("script_loop", "events", [{"script": {"source": "int k = 0; for (def c : ctx.event_type.toCharArray()) { if (c == 'i') { k++ } } ctx.k = k", "outputs": "k int"}}], ["event_id", "k"], "SELECT event_id, (length(event_type) - length(replace(event_type, 'i', '')))::INT AS k FROM events")
 process("failure", "events", [{"fail": {"if": "ctx.value < 5", "message": "low {{user_id}}"}}, {"set": {"field": "ok", "value": True}}], ["event_id", "ok", "_ingest_error AS error"], "SELECT event_id, CASE WHEN value >= 5 THEN true END AS ok, CASE WHEN value < 5 THEN 'low ' || user_id END AS error FROM events")
 process("pipeline", "events", [{"pipeline": {"name": "inner", "if": "ctx.event_type == 'view'"}}, {"drop": {"if": "ctx.value > 100"}}, {"terminate": {"if": "ctx.user_id < 50"}}, {"set": {"field": "last", "value": "end"}}], ["event_id", "seen", "last"], "SELECT event_id, CASE WHEN event_type = 'view' THEN 'inner' END AS seen, CASE WHEN user_id >= 50 THEN 'end' END AS last FROM events WHERE value <= 100", named={"inner": {"processors": [{"set": {"field": "seen", "value": "inner"}}]}})
 process("foreach", "pages", [{"split": {"field": "url", "separator": "/"}}, {"foreach": {"field": "url", "processor": {"uppercase": {"field": "_ingest._value"}}}}, {"join": {"field": "url", "separator": "/"}}], ["page_id", "url"], "SELECT page_id, upper(rtrim(url, '/')) AS url FROM pages", ["page_id", "url"])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmill.config import EngineConfig, Refused
-from driftmill.functions import dates, grok, kql, lucene, text
+from driftmill.functions import dates, grok, kql, lucene, painless_run, text
 from driftmill.operators import alerts, dashboards, equivalence, ingest, logstash
 from driftmill.plans.query import matches_needed
 from driftmill.plans.schema import from_mapping, read_console
@@ -243,3 +243,29 @@ def test_files_in_and_out(spark, tmp_path):
     (tmp_path / "in.txt").write_text("k=1\nk=2\n")
     connectors.run_batch(spark, f'input {{ file {{ path => "{tmp_path}/in.txt" }} }} filter {{ kv {{ include_keys => ["k"] }} }} output {{ file {{ path => "{tmp_path}/out" }} }}')
     assert sorted(r["k"] for r in spark.read.json(f"{tmp_path}/out").collect()) == ["1", "2"]
+
+
+def test_interpreted_scripts():
+    ctx = {"words": ["b", "a", "b", "ccc"], "n": 7, "o": {"x": 1}}
+    source = """
+      def seen = new HashMap(); int total = 0;
+      for (def w : ctx.words) { if (w == 'a') { continue; } seen.put(w, seen.getOrDefault(w, 0) + 1); total += w.length(); }
+      for (int i = 0; i < 10; i++) { if (i > 3) { break; } total += i; }
+      ctx.counts = seen; ctx.total = total; ctx.half = ctx.n / 2;
+      ctx.long_words = ctx.words.stream().filter(w -> w.length() > 1).map(w -> w.toUpperCase()).collect(Collectors.toList());
+      ctx.joined = String.join('-', ctx.words.stream().distinct().sorted().toList());
+      try { ctx.bad = Integer.parseInt('x'); } catch (Exception e) { ctx.bad = -1; }
+      ctx.remove('n'); ctx.o.x = ctx.o.x + params.k;
+    """
+    painless_run.Interpreter(source, {"k": 4}).run(ctx)
+    assert ctx == {"words": ["b", "a", "b", "ccc"], "o": {"x": 5}, "counts": {"b": 2, "ccc": 1}, "total": 11, "half": 3, "long_words": ["CCC"], "joined": "a-b-ccc", "bad": -1}
+    with pytest.raises(painless_run.ScriptError):
+        painless_run.Interpreter("while (true) { ctx.x = 1; }").run({})
+
+
+def test_ingest_script_with_loop(spark):
+    df = spark.createDataFrame([("a b a", 1), (None, 2)], "s string, n int")
+    step = {"script": {"source": "int k = 0; for (def w : ctx.s.splitOnToken(' ')) { if (w == 'a') { k++; } } ctx.k = k; ctx.remove('n');", "outputs": "k int"}}
+    rows = ingest.run(df, {"processors": [step]}).collect()
+    assert [(r["s"], r["k"], r["n"]) for r in rows if r["s"]] == [("a b a", 2, None)]
+    assert [(r["k"], r["n"], r["_ingest_error"][:13]) for r in rows if not r["s"]] == [(None, 2, "runtime error")]
