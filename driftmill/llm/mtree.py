@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .storage import written
 
 #: Vectors of a cell, entries of a page, and pivots at most; queries that are sent to all tasks at once.
-CELL_ROWS, PAGE_ENTRIES, MOST_PIVOTS, QUERY_BLOCK = 1024, 32, 4096, 8192
+CELL_ROWS, PAGE_ENTRIES, MOST_PIVOTS, QUERY_BLOCK = 4096, 256, 4096, 8192
 #: Components of this size or more could overflow a product.
 LARGEST = float(1 << 20)
 
@@ -110,7 +110,10 @@ class Tree:
     def __init__(self, pages: list[dict], longest: float):
         self.pages, self.longest = pages, longest
         for p in pages:
-            p["lifted"] = lifted(p["vector"], longest)
+            if not p["leaf"]:
+                p["lifted"] = lifted(p["vector"], longest)
+            elif longest < 2**50:  # every sum of products is below 2**53, so floating point is exact
+                p["float"] = p["vector"].astype(np.float64)
 
     def search(self, q: np.ndarray, own: int, k: int, floor: int | None) -> tuple[list[tuple[int, int]], int]:
         """The best (score, vec_id) that may be among the k best, and how many distances were computed.
@@ -136,7 +139,10 @@ class Tree:
             rows = np.flatnonzero(may)
             done += len(rows)
             if page["leaf"]:
-                scores = products(page["vector"][rows], q)
+                if "float" in page and length < 2**50:
+                    scores = np.rint((page["float"] if len(rows) == len(may) else page["float"][rows]) @ x[:-1]).astype(np.int64)
+                else:
+                    scores = products(page["vector"][rows], q)
                 worst = best[-1][0] if len(best) == k else floor
                 keep = np.flatnonzero((page["vec_id"][rows] != own) & (scores >= worst if worst is not None else True))
                 if len(keep):
