@@ -17,7 +17,7 @@ from ..config import Refused
 from ..functions import dates
 from ..functions.painless import compile_expression
 from .fields import Field, Resolver, moment_literal
-from .query import QueryCompiler, any_of
+from .query import QueryCompiler, any_of, known
 
 PERCENTS = [1, 5, 25, 50, 75, 95, 99]
 METRICS = {"avg", "sum", "min", "max", "value_count", "cardinality", "stats", "extended_stats", "percentiles", "percentile_ranks", "weighted_avg", "top_metrics", "rate", "boxplot", "geo_bounds", "geo_centroid", "string_stats"}
@@ -618,7 +618,7 @@ class Aggregator:
         named = list(listed.items()) if isinstance(listed, dict) else [(str(i), c) for i, c in enumerate(listed)]
         tests = [(k, self.on(level.df, c)) for k, c in named]
         if o.get("other_bucket") or o.get("other_bucket_key"):
-            tests.append((o.get("other_bucket_key", "_other_"), ~any_of([t for _, t in tests])))
+            tests.append((o.get("other_bucket_key", "_other_"), ~known(any_of([t for _, t in tests]))))
         self.conditional(name, tests, subs, level, path)
 
     def b_adjacency_matrix(self, name, o, subs, level, path):

@@ -1,6 +1,7 @@
 """Search clauses to boolean Columns.
 
-Every compiled clause is true or false, never null, so negation and counting need no further care.
+A compiled clause may be null where a field is absent, which a filter and a condition read as false, and
+which leaves plain comparisons to be pushed to the scan. Negations and counts turn null into false first.
 """
 
 from __future__ import annotations
@@ -95,7 +96,12 @@ def at_least(parts: list[Column], k: int) -> Column:
         return any_of(parts)
     if k == len(parts):
         return all_of(parts)
-    return reduce(lambda a, b: a + b, (p.cast("int") for p in parts)) >= k
+    return reduce(lambda a, b: a + b, (known(p).cast("int") for p in parts)) >= k
+
+
+def known(c: Column) -> Column:
+    """A clause with null read as false."""
+    return F.coalesce(c, F.lit(False))
 
 
 class QueryCompiler:
@@ -116,7 +122,7 @@ class QueryCompiler:
         made = getattr(self, f"q_{name}", None)
         if made is None:
             raise Refused(f"unknown query {name!r}")
-        return F.coalesce(made(body, depth + 1), F.lit(False))
+        return made(body, depth + 1)
 
     def allow(self, name: str, body: dict, known: set[str]) -> None:
         if not isinstance(body, dict):
@@ -145,7 +151,7 @@ class QueryCompiler:
     def q_bool(self, body, depth):
         listed = {k: v if isinstance(v, list) else [v] for k, v in body.items() if k in ("must", "filter", "should", "must_not")}
         made = {k: [self.compile(c, depth) for c in v] for k, v in listed.items()}
-        parts = [*made.get("must", []), *made.get("filter", []), *(~c for c in made.get("must_not", []))]
+        parts = [*made.get("must", []), *made.get("filter", []), *(~known(c) for c in made.get("must_not", []))]
         if should := made.get("should"):
             spec = body.get("minimum_should_match")
             parts.append(at_least(should, matches_needed(spec, len(should)) if spec is not None else 0 if made.get("must") or made.get("filter") else 1))
@@ -300,10 +306,10 @@ class QueryCompiler:
         parts = []
         for i, w in enumerate(words):
             if fuzziness is not None and not (prefix_last and i == len(words) - 1):
-                parts.append(F.coalesce(self.fuzzy(f, w, fuzziness, prefix_length, True), F.lit(False)))
+                parts.append(self.fuzzy(f, w, fuzziness, prefix_length, True))
             else:
                 regex = text.word_regex(w, prefix=prefix_last and i == len(words) - 1)
-                parts.append(F.coalesce(f.any_value(lambda c, r=regex: c.rlike(r)), F.lit(False)))
+                parts.append(f.any_value(lambda c, r=regex: c.rlike(r)))
         if needed is not None and operator != "and":
             return at_least(parts, matches_needed(needed, len(parts)))
         return all_of(parts) if operator == "and" else any_of(parts)
@@ -351,11 +357,11 @@ class QueryCompiler:
         single = {"phrase": "match_phrase", "phrase_prefix": "match_phrase_prefix", "bool_prefix": "match_bool_prefix"}.get(kind, "match")
         operator = str(body.get("operator", "or")).lower()
         if kind == "cross_fields" and (operator == "and" or "minimum_should_match" in body):
-            parts = [any_of([F.coalesce(self.words(f, [w], "or", None), F.lit(False)) for f in fields]) for w in text.tokens_of(body["query"])]
+            parts = [any_of([self.words(f, [w], "or", None) for f in fields]) for w in text.tokens_of(body["query"])]
             return all_of(parts) if operator == "and" else at_least(parts, matches_needed(body["minimum_should_match"], len(parts)))
         if kind not in ("best_fields", "most_fields", "cross_fields", "phrase", "phrase_prefix", "bool_prefix"):
             raise Refused(f"multi_match type {kind!r} isn't known")
-        return any_of([F.coalesce(self.match(f, body, single), F.lit(False)) for f in fields])
+        return any_of([self.match(f, body, single) for f in fields])
 
     def q_combined_fields(self, body, depth):
         return self.q_multi_match({**body, "type": "cross_fields"}, depth) if str(body.get("operator", "or")).lower() == "and" or "minimum_should_match" in body else self.q_multi_match(body, depth)
