@@ -74,12 +74,11 @@ def fit(texts: list[str | None], labels: list[int], features: int = 20_000, leas
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1)
         return Model(empty.astype(np.int64), empty, float(np.log(rate / (1 - rate))) if len(y) else -1.0)
-    rows = [distinct_cells(t).astype(np.int32) for t in texts]
     size = 1 << CELL_BITS
     n1, n0 = y.sum(), len(y) - y.sum()
     counts = [np.zeros(size), np.zeros(size)]
-    for r, label in zip(rows, labels):
-        counts[label][r] += 1
+    for t, label in zip(texts, labels):
+        counts[label][distinct_cells(t)] += 1
     c0, c1 = counts
     # chi-square of presence against label
     present, n = c0 + c1, len(y)
@@ -95,7 +94,8 @@ def fit(texts: list[str | None], labels: list[int], features: int = 20_000, leas
     ratio = np.log((p / (n1 + 2 * smoothing)) / (q / (n0 + 2 * smoothing)))
     place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    kept = [k[k >= 0] for k in (place[r] for r in rows)]
+    # The cells are worked out again: to hold those of all texts would take hundreds of MB.
+    kept = [k[k >= 0] for k in (place[distinct_cells(t)] for t in texts)]
     column = np.concatenate(kept)
     row = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
     value = ratio[column]
