@@ -88,7 +88,9 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, similari
     null ids stay null; repeated rows give a row each; empty tables give no rows.
     """
     known = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    known = written(_with_shingles(known, "text", words).select("item_id", "s", F.size("s").alias("k")).where("k > 0").withColumn("item", F.monotonically_increasing_id()), "items")
+    # As below, the row's number keeps the filter above what it filters by.
+    known = _with_shingles(known, "text", words).select(F.monotonically_increasing_id().alias("item"), "item_id", "s", F.size("s").alias("k"))
+    known = written(known.where("k > 0"), "items")
     total = known.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     passes = max(1, -(-total // PASS_SHINGLES))
     out = None
