@@ -1,8 +1,9 @@
 """Operator 10: language identification by compression.
 
 Each language has a zstandard raw-content dictionary made of sample texts. A text is cut into
-segments, each compressed with every dictionary; the language of the smallest sum wins. A decision
-whose margin over the second is narrow is rejected.
+segments, each compressed with every dictionary; the language of the smallest sum wins. A short text
+is compressed after parts of each dictionary instead. A decision whose margin over the second is
+narrow is rejected.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from .toxicity import held_out
 #: Bytes of a segment: short enough that the dictionary, not the segment's own start, predicts it.
 SEGMENT = 2048
 LEVEL = 6
-#: Level and size for texts so short that matches of three bytes decide. They are filled up with
-#: spaces, which cost as much in any language, since a block that hardly shrinks is stored as it is.
-FINE_LEVEL, FINE_BYTES = 19, 512
+#: Texts of at most so many bytes are too short for matches with a dictionary to decide. They are
+#: encoded after each of several parts of it, at a level of its own, and what they add is summed:
+#: there the dictionary also lends the code of its letters.
+SHORT_BYTES, SHORT_PARTS, SHORT_PART_BYTES, SHORT_LEVEL = 512, 8, 2048, 9
 #: Share by which the second language must be larger for a decision to be accepted.
 MARGIN = 0.002
 UNKNOWN = "und"
@@ -91,17 +93,21 @@ class Classifier:
         import zstandard as zstd
 
         self.languages = model.languages
-        self.compressors, self.fine = [], []
+        self.compressors, self.parts = [], []
+        self.short = zstd.ZstdCompressor(level=SHORT_LEVEL, write_content_size=False)
         for d in model.dictionaries:
-            for level, to in ((LEVEL, self.compressors), (FINE_LEVEL, self.fine)):
-                known = zstd.ZstdCompressionDict(d or b"\0" * 8, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-                known.precompute_compress(level=level)
-                to.append(zstd.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_dict_id=False))
+            known = zstd.ZstdCompressionDict(d or b"\0" * 8, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(level=LEVEL)
+            self.compressors.append(zstd.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False))
+            parts = [d[k * len(d) // SHORT_PARTS :][:SHORT_PART_BYTES] for k in range(SHORT_PARTS)]
+            self.parts.append([(x, len(self.short.compress(x))) for x in parts])
 
     def sizes(self, text: str) -> np.ndarray:
         raw = words_only(text)
-        parts = segments(raw) if len(raw) > FINE_BYTES else [raw.ljust(2 * FINE_BYTES)]
-        return np.array([sum(len(c.compress(p)) for p in parts) for c in (self.fine if len(raw) <= FINE_BYTES else self.compressors)], np.int64)
+        if len(raw) <= SHORT_BYTES:
+            return np.array([sum(len(self.short.compress(x + raw)) - n for x, n in parts) for parts in self.parts], np.int64)
+        cut = segments(raw)
+        return np.array([sum(len(c.compress(x)) for x in cut) for c in self.compressors], np.int64)
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin); a text that is null or has no letter is unknown with score and margin 0."""
