@@ -148,7 +148,8 @@ def read_records(index: DataFrame) -> DataFrame:
                         start += int(n.sum())
                         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    dealt = files.select("folder", "file", "base", "part").repartition(F.col("part"))
+    # A task a file: without a number, the few bytes of file names would be gathered into one task.
+    dealt = files.select("folder", "file", "base", "part").repartitionByRange(max(1, files.count()), "part")
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
