@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmill.llm import decontam, langid, simhash, toxicity
+from driftmill.llm import decontam, langid, shingles, toxicity
 from driftmill.llm.queries import pack_digest, table
 from driftmill.llm.storage import fresh_path
 from driftmill.ship import ship
@@ -27,9 +27,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates: five-word shingles of similarity 0.8 or more, exactly."""
     ship(spark)
-    return simhash.keep_one(docs, words=4, radius=4)
+    return shingles.keep_one(docs, words=5, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: No SQL: models, SimHash with XXH64 and tokenizers are beyond it; tests compare with brute force.
+#: No SQL: models, shingles with XXH64 and tokenizers are beyond it; tests compare with brute force.
 ORACLE_SQL = None

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
-from driftmill.llm import components, crc32c, decontam, html, langid, mtree, packing, records, shards, simhash, storage, tokens, toxicity, urls
+from driftmill.llm import components, crc32c, decontam, html, langid, mtree, packing, records, shards, shingles, simhash, storage, tokens, toxicity, urls
 from driftmill.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -223,6 +223,68 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert all(roots[i] == 0 for i in range(201)) and all(roots[2000 + i] == 1000 for i in range(300))
 
 
+def slow_similar(texts, t=0.8):
+    """Places of the texts that stay: the first of each class that five-word similarity connects."""
+    cut = lambda w: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [cut((x or "").lower().split()) for x in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or len(a & b) >= t * len(a | b) - 1e-9:
+                p, q = sorted((find(i), find(j)))
+                root[q] = p
+    return [i for i in range(len(sets)) if find(i) == i]
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_stage_keeps_one_of_texts_of_similarity(spark, block):
+    """Near copies at more than four bits, chains, a passage that many share, and pairs just under and at 0.8."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(40)]
+    texts = [None, "", "one two", "One  two", "la " * 30, "la " * 90]
+    for k in range(30):
+        w = [word() for _ in range(rng.randint(60, 220))] + (passage if k % 2 else [])
+        texts.append(" ".join(w))
+        for _ in range(rng.randint(0, 6)):  # each copy of the last: a chain
+            for _ in range(rng.randint(1, 5)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    base = [word() for _ in range(94)]  # 90 shingles; 80 of them, and 72 of those 80
+    texts += [" ".join(base[:84]), " ".join(base), " ".join(base[:76])]
+    exact = [word() for _ in range(104)]
+    texts += [" ".join(exact), " ".join(exact[:84])]  # 80 of 100 shingles: 0.8
+    under = [word() for _ in range(104)]
+    texts += [" ".join(under), " ".join(under[:83])]  # 79 of 100
+    order = list(range(len(texts)))
+    df = spark.createDataFrame([(i, texts[i], 1) for i in rng.sample(order, len(order))], "doc_id long, text string, key int").repartition(3)
+    old, shingles.BLOCK_ROWS = shingles.BLOCK_ROWS, block
+    try:
+        kept = shingles.keep_one(df)
+        assert kept.columns == df.columns
+        assert sorted(r["doc_id"] for r in kept.collect()) == slow_similar(texts)
+    finally:
+        shingles.BLOCK_ROWS = old
+    assert shingles.keep_one(df.limit(0)).count() == 0
+
+
+def test_pipeline_stage_removes_all_similar_texts(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, sf)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [rows[i][0] for i in slow_similar([t for _, t in rows])]
+
+
 # ---------------------------------------------------------------- classifiers
 
 
