@@ -1,12 +1,12 @@
 """Operator 9: benchmark decontamination by SimHash of item-sized windows, in DataFrame functions alone.
 
-For each benchmark item, windows of a document as long as the item are compared with it: SimHash
-fingerprints of five-word shingles, found by multi-index Hamming blocks within a radius, then the
+For each benchmark item, windows of a document as long as the item are compared with it, or the
+whole document where it is shorter than the item: SimHash fingerprints of five-word shingles, found by multi-index Hamming blocks within a radius, then the
 exact similarity of the two multisets of shingles (sum of minima over sum of maxima).
 
-Two multisets of K shingles reach similarity t only if they share s >= 2Kt / (1 + t) of them. So a
-window counts only if that many of its positions hold a shingle of some item of its length; other
-windows are never fingerprinted. The test is lossless, needs no shuffle, and leaves few documents.
+Multisets of N and K shingles reach similarity t only if they share s >= (N + K)t / (1 + t) of them.
+So a window counts only if that many of its positions hold a shingle of some item of the length it
+is meant for; other windows are never fingerprinted. The test is lossless, needs no shuffle, and leaves few documents.
 """
 
 from __future__ import annotations
@@ -75,15 +75,16 @@ def _membership(hashes: list[int]):
     return lambda h: F.array_contains(F.get(table, h.bitwiseAND(F.lit(size - 1)).cast("int")), h)
 
 
-def _needed(size: str, similarity: float) -> str:
-    return f"cast(ceil({2 * similarity / (1 + similarity)!r}D * {size} - 1e-9D) as int)"
+def _needed(sizes: str, similarity: float) -> str:
+    """How many shingles two multisets of so many in all must share."""
+    return f"cast(ceil({similarity / (1 + similarity)!r}D * ({sizes}) - 1e-9D) as int)"
 
 
 def contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and item whose best window reaches the similarity.
 
     Columns: doc_id, text_md5 (of the document), item_id, similarity, start_word (the best window's
-    first word, the earliest on ties), n_words, distance (of fingerprints, in bits). Items and
+    first word, the earliest on ties), n_words (the window's), distance (of fingerprints, in bits). Items and
     documents of fewer than ``words`` words have no shingle and match nothing; nulls count as empty;
     null ids stay null; repeated rows give a row each; empty tables give no rows.
     """
@@ -106,7 +107,7 @@ def _one_pass(docs: DataFrame, items: DataFrame, words: int, similarity: float,
     hashes = [r["h"] for r in shingles.select("h").distinct().collect()]  # PASS_SHINGLES and one item's more at most
     sizes = [r["k"] for r in items.select("k").distinct().collect()]
     least = min((-(-2 * similarity * k // (1 + similarity)) for k in sizes), default=1)
-    least, longest = max(1, int(least)), max(sizes, default=1)
+    least, shortest, longest = max(1, int(least)), min(sizes, default=1), max(sizes, default=1)
 
     # Documents with enough shingles of items within a window's reach; no shuffle.
     text = F.col(text_col).cast("string")
@@ -115,18 +116,19 @@ def _one_pass(docs: DataFrame, items: DataFrame, words: int, similarity: float,
     among = _membership(hashes)
     found = F.filter(F.expr("sequence(0, greatest(size(s) - 1, 0))"), lambda i: among(F.get("s", i))).alias("p")
     rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "s", found)
-    near = f"size(p) >= {least} and exists(sequence(0, greatest(size(p) - {least}, 0)), i -> get(p, i + {least - 1}) - get(p, i) < {longest})"
+    within = f"size(p) >= {least} and exists(sequence(0, greatest(size(p) - {least}, 0)), i -> get(p, i + {least - 1}) - get(p, i) < {longest})"
+    near = f"if(size(s) < {shortest}, size(p) >= {_needed(f'size(s) + {shortest}', similarity)}, {within})"  # a shorter document is a window as it is
     suspects = rows.where(near).select("rid", "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "s", "p")
     suspects = written(suspects, "suspects")
 
-    # Windows of each item length that hold enough of its shingles.
-    hits = suspects.select("rid", F.explode(F.expr("transform(p, i -> struct(i as pos, s[i] as h))")).alias("x")).select("rid", "x.pos", "x.h")
-    hits = hits.join(shingles, "h").groupBy("rid", "k").agg(F.sort_array(F.collect_set("pos")).alias("p"))  # a document's own positions
-    hits = hits.withColumn("need", F.expr(_needed("k", similarity))).where("size(p) >= need")
-    firsts = F.expr("filter(p, (x, i) -> get(p, i + need - 1) - x < k)")
-    starts = F.expr("explode(array_distinct(flatten(transform(f, x -> sequence(greatest(x - (k - need), 0), x)))))")
-    windows = hits.withColumn("f", firsts).where("size(f) > 0").select("rid", "k", starts.alias("start"))
-    windows = windows.join(suspects.select("rid", "s"), "rid").where("start + k <= size(s)").select("rid", "k", "start", F.expr("slice(s, start + 1, k)").alias("s"))
+    # Windows for each item length k, of n = k shingles or the whole document's fewer, that hold enough of its shingles.
+    hits = suspects.select("rid", F.size("s").alias("m"), F.explode(F.expr("transform(p, i -> struct(i as pos, s[i] as h))")).alias("x")).select("rid", "m", "x.pos", "x.h")
+    hits = hits.join(shingles, "h").groupBy("rid", "m", "k").agg(F.sort_array(F.collect_set("pos")).alias("p"))  # a document's own positions
+    hits = hits.withColumn("n", F.least("m", "k")).withColumn("need", F.expr(_needed("n + k", similarity))).where("size(p) >= need")
+    firsts = F.expr("filter(p, (x, i) -> get(p, i + need - 1) - x < n)")
+    starts = F.expr("explode(array_distinct(flatten(transform(f, x -> sequence(greatest(x - (n - need), 0), x)))))")
+    windows = hits.withColumn("f", firsts).where("size(f) > 0").select("rid", "k", "n", starts.alias("start"))
+    windows = windows.join(suspects.select("rid", "s"), "rid").where("start + n <= size(s)").select("rid", "k", "n", "start", F.expr("slice(s, start + 1, n)").alias("s"))
     windows = written(_with_fingerprint(windows), "windows")
 
     # Multi-index Hamming blocks: an item under all variants of each block, a window under its own value.
@@ -142,13 +144,13 @@ def _one_pass(docs: DataFrame, items: DataFrame, words: int, similarity: float,
 
     # Exact similarity of the multisets.
     counted = items.select("item", "item_id", F.explode("s").alias("h")).groupBy("item", "item_id", "h").agg(F.count("*").alias("c")).groupBy("item", "item_id").agg(F.collect_list(F.struct("h", "c")).alias("counts"))
-    both = pairs.join(windows.select("rid", "k", "start", "s"), ["rid", "k", "start"]).join(counted, "item")
+    both = pairs.join(windows.select("rid", "k", "n", "start", "s"), ["rid", "k", "start"]).join(counted, "item")
     shared = F.expr("aggregate(counts, 0L, (a, x) -> a + least(x.c, cast(size(filter(s, h -> h = x.h)) as bigint)))")
-    scored = both.select("rid", "k", "start", "item", "item_id", "distance", shared.alias("shared")).where(F.col("shared") >= F.expr(_needed("k", similarity)))
-    scored = scored.withColumn("similarity", F.expr("shared / (2D * k - shared)"))
-    best = scored.groupBy("rid", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "k", "distance", "item_id")).alias("b"))
+    scored = both.select("rid", "k", "n", "start", "item", "item_id", "distance", shared.alias("shared")).where(F.col("shared") >= F.expr(_needed("n + k", similarity)))
+    scored = scored.withColumn("similarity", F.expr("shared / (1D * (n + k) - shared)"))
+    best = scored.groupBy("rid", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n", "distance", "item_id")).alias("b"))
     found = best.join(suspects.select("rid", "doc_id", "text_md5"), "rid")
-    return found.select("doc_id", "text_md5", F.col("b.item_id").alias("item_id"), F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word"), (F.col("b.k") + (words - 1)).cast("long").alias("n_words"), F.col("b.distance").cast("int").alias("distance"))
+    return found.select("doc_id", "text_md5", F.col("b.item_id").alias("item_id"), F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word"), (F.col("b.n") + (words - 1)).cast("long").alias("n_words"), F.col("b.distance").cast("int").alias("distance"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **settings) -> DataFrame:

@@ -473,6 +473,25 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_documents_shorter_than_an_item_are_found(spark):
+    """Items with a word or their last tenth left out; at 0.8 exactly and just under it."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    items = [(k, [word() for _ in range(k + 4)]) for k in (12, 20, 40, 200)]
+    docs = []
+    for k, w in items:
+        docs += [(k, w[1:], 1 - 1 / k), (k, w[:-1], 1 - 1 / k), (k, w[: -(len(w) // 10)], 1 - len(w) // 10 / k), (k, w[: len(w) // 2], None)]
+    docs += [(20, items[1][1][:20], 0.8), (20, items[1][1][:19], None), (40, ["extra", *items[2][1][4:]], 36 / 41)]
+    middle = items[3][1][:100] + items[3][1][101:]  # five shingles lost, four new
+    docs.append((200, middle, 195 / 204))
+    d = spark.createDataFrame([(n, " ".join(w)) for n, (_, w, _) in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.contaminated(d, b).collect()}
+    expected = {n: (k, round(t, 9), 0, len(w)) for n, (k, w, t) in enumerate(docs) if t}
+    assert {n: (r["item_id"], round(r["similarity"], 9), r["start_word"], r["n_words"]) for n, r in got.items()} == expected
+    assert sorted(r["doc_id"] for r in decontam.keep_clean(d, b).collect()) == [n for n in range(len(docs)) if n not in expected]
+
+
 def test_shared_folder_needs_a_setting_on_a_cluster(spark):
     class Cluster:
         class conf:
