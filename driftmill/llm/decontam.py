@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from itertools import combinations
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,8 +107,8 @@ def _one_pass(docs: DataFrame, items: DataFrame, words: int, similarity: float,
     shingles = items.select("k", F.explode("s").alias("h")).distinct()
     hashes = [r["h"] for r in shingles.select("h").distinct().collect()]  # PASS_SHINGLES and one item's more at most
     sizes = [r["k"] for r in items.select("k").distinct().collect()]
-    least = min((-(-2 * similarity * k // (1 + similarity)) for k in sizes), default=1)
-    least, shortest, longest = max(1, int(least)), min(sizes, default=1), max(sizes, default=1)
+    least = min((ceil(similarity / (1 + similarity) * 2 * k - 1e-9) for k in sizes), default=1)
+    least, shortest, longest = max(1, least), min(sizes, default=1), max(sizes, default=1)
 
     # Documents with enough shingles of items within a window's reach; no shuffle.
     text = F.col(text_col).cast("string")

@@ -492,6 +492,17 @@ def test_documents_shorter_than_an_item_are_found(spark):
     assert sorted(r["doc_id"] for r in decontam.keep_clean(d, b).collect()) == [n for n in range(len(docs)) if n not in expected]
 
 
+@pytest.mark.parametrize("k", [27, 54, 63])
+def test_a_match_at_exactly_the_similarity_passes_the_filter(spark, k):
+    word = lambda i: f"w{i}"
+    item = [word(i) for i in range(k + 4)]
+    lost = k // 9  # 8 of 9 shingles shared: 0.8
+    text = [*item[: k + 4 - lost], *(word(1000 + i) for i in range(100))]
+    d = spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string")
+    b = spark.createDataFrame([(2, " ".join(item))], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in decontam.contaminated(d, b).collect()] == [(1, 2, 0.8)]
+
+
 def test_shared_folder_needs_a_setting_on_a_cluster(spark):
     class Cluster:
         class conf:
