@@ -34,10 +34,11 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of what a dictionary is made of: documents of a language, characters of each, bytes in all."""
+    """Bounds of what a dictionary is made of: documents of a language, characters of each and the pieces they come in, bytes in all."""
 
     documents: int = 256
     characters: int = 512
+    pieces: int = 4
     dictionary: int = 98_304
 
 
@@ -50,10 +51,13 @@ class Model:
 def train(docs: DataFrame, sample: Sample = Sample(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_languages: int = 1000) -> Model:
     """Dictionaries of all languages that rows outside the held-out fold name, from a bounded sample.
 
-    The sample of a language is its first rows in the order of a hash of the id; they are ranked
-    within tasks before the shuffle. More than ``most_languages`` is an error, since the model is
+    The sample of a language is its first rows with a letter in the order of a hash of the id; they
+    are ranked within tasks before the shuffle. Of a long text it takes pieces spread from its start
+    to its end. More than ``most_languages`` is an error, since the model is
     sent to every task.
     """
+    text = F.col(text_col).cast("string")
+    docs = docs.where(text.rlike(r"\p{L}"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long")).alias("order"))
     rows = rows.where("lang is not null and id is not null").where(~held_out(F.col("id")))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))).where(F.col("rank") <= sample.documents)
@@ -62,7 +66,7 @@ def train(docs: DataFrame, sample: Sample = Sample(), id_col: str = "doc_id", te
     if len(languages) > most_languages or chosen.num_rows > most_languages * sample.documents:
         raise ValueError(f"more than {most_languages} languages")
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col).cast("string"), 1, sample.characters).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), _spread(text, sample).alias("text"))
     found = texts.join(F.broadcast(spark.createDataFrame(chosen)), ["id", "lang"]).orderBy("order", "id", "text").toArrow()
     parts: dict[str, list[str]] = {x: [] for x in languages}
     for lang, text in zip(found["lang"].to_pylist(), found["text"].to_pylist()):
@@ -70,6 +74,14 @@ def train(docs: DataFrame, sample: Sample = Sample(), id_col: str = "doc_id", te
     return Model(languages, [words_only(" ".join(parts[x]))[-sample.dictionary :] for x in languages])
 
 
+def _spread(text: Column, sample: Sample) -> Column:
+    """A text of up to ``sample.characters`` as it is, else its pieces at equal distances, joined by spaces."""
+    piece = sample.characters // sample.pieces
+    at = lambda i: F.floor((F.length(text) - piece) * i / max(sample.pieces - 1, 1)).cast("int") + 1
+    pieces = F.concat_ws(" ", *(F.substring(text, at(i), F.lit(piece)) for i in range(sample.pieces)))
+    return F.when(F.length(text) <= sample.characters, text).otherwise(pieces)
+
+
 def words_only(text: str) -> bytes:
     """Lower case, every run of what isn't a letter turned into a space."""
     return b" " + _OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace") + b" "

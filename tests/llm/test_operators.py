@@ -335,6 +335,21 @@ def test_language_edge_cases(spark, empty):
     assert b"".join(langid.segments(b"ab " * 5000)) == b"ab " * 5000
 
 
+def test_language_is_learned_from_whole_texts(spark):
+    """Texts that open with the same boilerplate, and more texts without letters than a language has places."""
+    rng = random.Random(6)
+    words = {"en": "the and of is with house water people".split(), "de": "und der die das ist haus wasser leute".split()}
+    say = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    rows = [(i, "lorem ipsum dolor sit amet " * 25 + say(x, 200), x) for x, start in (("en", 0), ("de", 500)) for i in range(start, start + 30)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [all(w.encode() in d for w in words[x]) for x, d in zip(model.languages, model.dictionaries)] == [True, True]
+    of = langid.Classifier(model)
+    assert all(of(say(x, n))[0] == x for x in words for n in (30, 300))
+    blank = [(1000 + i, (None, "", "12 !!")[i % 3], "en") for i in range(400)]
+    few = langid.train(spark.createDataFrame(rows + blank, "doc_id long, text string, lang string"), langid.Sample(documents=8))
+    assert few.dictionaries[1].count(b"lorem") > 8
+
+
 # ---------------------------------------------------------------- URLs and shards
 
 
