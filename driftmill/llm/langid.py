@@ -1,9 +1,8 @@
 """Operator 10: language identification by compression.
 
 Each language has a zstandard raw-content dictionary made of sample texts. A text is cut into
-segments, each compressed with every dictionary; the language of the smallest sum wins. A short text
-is compressed after parts of each dictionary instead. A decision whose margin over the second is
-narrow is rejected.
+segments, each compressed with every dictionary; the language of the smallest sum wins. Texts of all
+lengths go this one way. A decision whose margin over the second is narrow is rejected.
 """
 
 from __future__ import annotations
@@ -22,10 +21,10 @@ from .toxicity import held_out
 #: Bytes of a segment: short enough that the dictionary, not the segment's own start, predicts it.
 SEGMENT = 2048
 LEVEL = 6
-#: Texts of at most so many bytes are too short for matches with a dictionary to decide. They are
-#: encoded after each of several parts of it, at a level of its own, and what they add is summed:
-#: there the dictionary also lends the code of its letters.
-SHORT_BYTES, SHORT_PARTS, SHORT_PART_BYTES, SHORT_LEVEL = 512, 8, 2048, 9
+#: A run that follows each segment. The encoder stores what it can't shorten, and a few words alone
+#: would be stored, at one size for all languages; with the run a block always gets shorter, and so
+#: its size shows every match with the dictionary.
+RUN = b"\n" * 64
 #: Share by which the second language must be larger for a decision to be accepted.
 MARGIN = 0.002
 UNKNOWN = "und"
@@ -34,12 +33,11 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of what a dictionary is made of: documents of a language, characters of each and the pieces they come in, bytes in all."""
+    """Bounds of what a dictionary is made of: documents of a language, characters of each and the pieces they come in."""
 
-    documents: int = 256
+    documents: int = 192
     characters: int = 512
     pieces: int = 4
-    dictionary: int = 98_304
 
 
 @dataclass
@@ -53,8 +51,9 @@ def train(docs: DataFrame, sample: Sample = Sample(), id_col: str = "doc_id", te
 
     The sample of a language is its first rows with a letter in the order of a hash of the id; they
     are ranked within tasks before the shuffle. Of a long text it takes pieces spread from its start
-    to its end. More than ``most_languages`` is an error, since the model is
-    sent to every task.
+    to its end; of rows that share an id and a language, one. Nulls in any column and texts without
+    a letter aren't learned from; an empty table gives a model without languages. More than
+    ``most_languages`` is an error, since the model is sent to every task.
     """
     text = F.col(text_col).cast("string")
     docs = docs.where(text.rlike(r"\p{L}"))
@@ -67,11 +66,12 @@ def train(docs: DataFrame, sample: Sample = Sample(), id_col: str = "doc_id", te
         raise ValueError(f"more than {most_languages} languages")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), _spread(text, sample).alias("text"))
-    found = texts.join(F.broadcast(spark.createDataFrame(chosen)), ["id", "lang"]).orderBy("order", "id", "text").toArrow()
+    found = texts.join(F.broadcast(spark.createDataFrame(chosen)), ["id", "lang"]).groupBy("order", "id", "lang").agg(F.max("text").alias("text"))
+    found = found.orderBy("order", "id").toArrow()  # a row for each chosen one at most
     parts: dict[str, list[str]] = {x: [] for x in languages}
     for lang, text in zip(found["lang"].to_pylist(), found["text"].to_pylist()):
         parts[lang].append(text or "")
-    return Model(languages, [words_only(" ".join(parts[x]))[-sample.dictionary :] for x in languages])
+    return Model(languages, [words_only(" ".join(parts[x])) for x in languages])
 
 
 def _spread(text: Column, sample: Sample) -> Column:
@@ -105,20 +105,14 @@ class Classifier:
         import zstandard as zstd
 
         self.languages = model.languages
-        self.compressors, self.parts = [], []
-        self.short = zstd.ZstdCompressor(level=SHORT_LEVEL, write_content_size=False)
+        self.compressors = []
         for d in model.dictionaries:
             known = zstd.ZstdCompressionDict(d or b"\0" * 8, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             known.precompute_compress(level=LEVEL)
             self.compressors.append(zstd.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False))
-            parts = [d[k * len(d) // SHORT_PARTS :][:SHORT_PART_BYTES] for k in range(SHORT_PARTS)]
-            self.parts.append([(x, len(self.short.compress(x))) for x in parts])
 
     def sizes(self, text: str) -> np.ndarray:
-        raw = words_only(text)
-        if len(raw) <= SHORT_BYTES:
-            return np.array([sum(len(self.short.compress(x + raw)) - n for x, n in parts) for parts in self.parts], np.int64)
-        cut = segments(raw)
+        cut = [x + RUN for x in segments(words_only(text))]
         return np.array([sum(len(c.compress(x)) for x in cut) for c in self.compressors], np.int64)
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
@@ -160,6 +154,10 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """The rows of ``docs`` whose language is accepted."""
+    """The rows of ``docs`` whose language is accepted, repeats each.
+
+    Null and empty texts and those without a letter have no language and so go; an empty table gives
+    no rows; columns of any name are kept as they are.
+    """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), identify(F.col(text_col), model).alias("x"))
     return rows.where((F.col("x.lang") != UNKNOWN) & (F.col("x.margin") >= margin)).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

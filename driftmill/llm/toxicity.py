@@ -159,6 +159,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: Sample, id_col:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), **columns: str) -> Model:
+    """A model of the bounded sample of labelled rows; of rows that share an id one text counts, of several labels the larger.
+
+    Null ids and labels aren't learned from, null texts are as empty ones; without any labelled row
+    every text gets the same score, below one half.
+    """
     texts, y = labelled_sample(docs, labels, sample, **columns)
     return fit(texts, y)
 
@@ -182,6 +187,10 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the model doesn't find toxic."""
+    """The rows of ``docs`` that the model doesn't find toxic, repeats each.
+
+    Null and empty texts have the score of a text without features, below the threshold unless most
+    labels are toxic; an empty table gives no rows; columns of any name are kept as they are.
+    """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), score(F.col(text_col), model).alias("score"))
     return rows.where(F.col("score") < threshold).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
