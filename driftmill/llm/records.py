@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import crc32c
-from .storage import fresh_path
+from .storage import fresh_path, open_folder
 from .tokens import encoder, vocabulary_size
 
 #: Layout and size of what stands before the ids.
@@ -32,13 +32,6 @@ HEAD, HEAD_SIZE = "<qBBxx", 12
 BATCH_BYTES = 4 << 20
 
 
-def open_folder(path: str):
-    """(file system, path in it) of a URI or local path."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path.replace("file:", "file://", 1))
-
-
 def frame(payloads: list[bytes]) -> list[bytes]:
     """The records of payloads."""
     sizes = [struct.pack("<Q", len(p)) for p in payloads]
