@@ -1,8 +1,10 @@
 """Operator 9: benchmark decontamination by SimHash of item-sized windows, in DataFrame functions alone.
 
 For each benchmark item, windows of a document as long as the item are compared with it, or the
-whole document where it is shorter than the item: SimHash fingerprints of five-word shingles, found by multi-index Hamming blocks within a radius, then the
-exact similarity of the two multisets of shingles (sum of minima over sum of maxima).
+whole document where it is shorter than the item: SimHash fingerprints of five-word shingles, found
+by multi-index Hamming blocks within a radius, then the exact similarity of the two multisets of
+shingles (sum of minima over sum of maxima). An item or document of fewer words is one shingle of
+all its words, so a short item is found where a document is just that item.
 
 Multisets of N and K shingles reach similarity t only if they share s >= (N + K)t / (1 + t) of them.
 So a window counts only if that many of its positions hold a shingle of some item of the length it
@@ -26,7 +28,9 @@ PASS_SHINGLES = 100_000
 
 
 def _with_shingles(rows: DataFrame, text: str, words: int) -> DataFrame:
-    """Adds ``s``, the hashes of the shingles of words (runs of letters and digits, lower case).
+    """Adds ``s``, the hashes of the shingles of words (runs of letters and digits, lower case), and ``nw``, the number of words.
+
+    Fewer words than a shingle has are one shingle.
 
     Each step is a column of its own, which later steps name more than once, so that Catalyst keeps
     it and doesn't work it out again for every element.
@@ -34,8 +38,9 @@ def _with_shingles(rows: DataFrame, text: str, words: int) -> DataFrame:
     rows = rows.withColumn("plain", F.expr(f"trim(regexp_replace(lower(coalesce({text}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+', ' '))"))
     rows = rows.withColumn("w", F.expr("transform(filter(split(plain, ' '), x -> plain <> ''), x -> xxhash64(x))"))
     each = ", ".join(f"w[i + {k}]" for k in range(words))
-    shingles = f"if(size(w) < {words}, cast(array() as array<bigint>), transform(sequence(0, greatest(size(w) - {words}, 0)), i -> xxhash64({each})))"
-    return rows.withColumn("s", F.expr(shingles)).drop("plain", "w")
+    few = "array(aggregate(w, cast(size(w) as bigint), (a, x) -> xxhash64(a, x)))"
+    shingles = f"case when size(w) = 0 then cast(array() as array<bigint>) when size(w) < {words} then {few} else transform(sequence(0, greatest(size(w) - {words}, 0)), i -> xxhash64({each})) end"
+    return rows.withColumn("s", F.expr(shingles)).withColumn("nw", F.size("w")).drop("plain", "w")
 
 
 def _with_fingerprint(rows: DataFrame) -> DataFrame:
@@ -86,8 +91,8 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, similari
 
     Columns: doc_id, text_md5 (of the document), item_id, similarity, start_word (the best window's
     first word, the earliest on ties), n_words (the window's), distance (of fingerprints, in bits). Items and
-    documents of fewer than ``words`` words have no shingle and match nothing; nulls count as empty;
-    null ids stay null; repeated rows give a row each; empty tables give no rows.
+    documents without a word match nothing; nulls count as empty; null ids stay null; repeated rows
+    give a row each; empty tables give no rows; further columns play no part.
     """
     known = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     # As below, the row's number keeps the filter above what it filters by.
@@ -116,10 +121,10 @@ def _one_pass(docs: DataFrame, items: DataFrame, words: int, similarity: float,
     # The row's number keeps the filter above this projection: below it, p would be worked out for each element.
     among = _membership(hashes)
     found = F.filter(F.expr("sequence(0, greatest(size(s) - 1, 0))"), lambda i: among(F.get("s", i))).alias("p")
-    rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "s", found)
+    rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "s", "nw", found)
     within = f"size(p) >= {least} and exists(sequence(0, greatest(size(p) - {least}, 0)), i -> get(p, i + {least - 1}) - get(p, i) < {longest})"
     near = f"if(size(s) < {shortest}, size(p) >= {_needed(f'size(s) + {shortest}', similarity)}, {within})"  # a shorter document is a window as it is
-    suspects = rows.where(near).select("rid", "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "s", "p")
+    suspects = rows.where(near).select("rid", "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "s", "nw", "p")
     suspects = written(suspects, "suspects")
 
     # Windows for each item length k, of n = k shingles or the whole document's fewer, that hold enough of its shingles.
@@ -139,19 +144,20 @@ def _one_pass(docs: DataFrame, items: DataFrame, words: int, similarity: float,
     table = prints.select("item", "k", "fp", F.explode(entries).alias("e")).select("item", "k", "fp", "e.block", "e.mask", F.explode("e.flips").alias("flip"))
     table = table.select("item", "k", F.col("fp").alias("item_fp"), "block", F.expr("(fp & mask) ^ flip").alias("value"))
     masks = F.array(*(F.struct(F.lit(b).alias("block"), F.lit(_signed(mask)).alias("mask")) for b, (mask, _) in enumerate(layout)))
-    asked = windows.select("rid", "k", "start", "fp", F.explode(masks).alias("e")).select("rid", "k", "start", "fp", "e.block", F.expr("fp & e.mask").alias("value"))
+    # Distinct fingerprints ask: a passage that a third of all documents share asks once.
+    asked = windows.select("k", "fp").distinct().select("k", "fp", F.explode(masks).alias("e")).select("k", "fp", "e.block", F.expr("fp & e.mask").alias("value"))
     pairs = asked.join(table, ["k", "block", "value"]).withColumn("distance", F.expr("bit_count(fp ^ item_fp)")).where(F.col("distance") <= radius)
-    pairs = pairs.select("rid", "k", "start", "item", "distance").distinct()
+    pairs = pairs.select("k", "fp", "item", "distance").distinct()
 
     # Exact similarity of the multisets.
     counted = items.select("item", "item_id", F.explode("s").alias("h")).groupBy("item", "item_id", "h").agg(F.count("*").alias("c")).groupBy("item", "item_id").agg(F.collect_list(F.struct("h", "c")).alias("counts"))
-    both = pairs.join(windows.select("rid", "k", "n", "start", "s"), ["rid", "k", "start"]).join(counted, "item")
+    both = windows.select("rid", "k", "n", "start", "s", "fp").join(pairs, ["k", "fp"]).join(counted, "item")
     shared = F.expr("aggregate(counts, 0L, (a, x) -> a + least(x.c, cast(size(filter(s, h -> h = x.h)) as bigint)))")
     scored = both.select("rid", "k", "n", "start", "item", "item_id", "distance", shared.alias("shared")).where(F.col("shared") >= F.expr(_needed("n + k", similarity)))
     scored = scored.withColumn("similarity", F.expr("shared / (1D * (n + k) - shared)"))
     best = scored.groupBy("rid", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n", "distance", "item_id")).alias("b"))
-    found = best.join(suspects.select("rid", "doc_id", "text_md5"), "rid")
-    return found.select("doc_id", "text_md5", F.col("b.item_id").alias("item_id"), F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word"), (F.col("b.n") + (words - 1)).cast("long").alias("n_words"), F.col("b.distance").cast("int").alias("distance"))
+    found = best.join(suspects.select("rid", "doc_id", "text_md5", "nw"), "rid")
+    return found.select("doc_id", "text_md5", F.col("b.item_id").alias("item_id"), F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word"), F.least(F.col("b.n") + (words - 1), "nw").cast("long").alias("n_words"), F.col("b.distance").cast("int").alias("distance"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **settings) -> DataFrame:
@@ -164,25 +170,25 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **sett
 def oracle(words: int = WORDS, similarity: float = SIMILARITY) -> str:
     """SQL of all windows that overlap a shared shingle, by exact similarity alone."""
     last = words - 1
-    shingled = "list_transform(range(len(w) - {l}), lambda i: array_to_string(w[i + 1 : i + {n}], ' '))".format(l=last, n=words)
+    shingled = "CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(len(w) - {l}), lambda i: array_to_string(w[i + 1 : i + {n}], ' ')) END".format(l=last, n=words)
     plain = "string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
     return f"""
-WITH d AS (SELECT rid, doc_id, {shingled} AS s FROM (SELECT row_number() OVER () AS rid, doc_id, {plain} AS w FROM documents) WHERE len(w) >= {words}),
-b AS (SELECT item, item_id, {shingled} AS s FROM (SELECT row_number() OVER () AS item, item_id, {plain} AS w FROM benchmark) WHERE len(w) >= {words}),
-dp AS (SELECT rid, doc_id, unnest(s) AS h, unnest(range(len(s))) AS pos, len(s) AS n FROM d),
+WITH d AS (SELECT rid, doc_id, len(w) AS nw, {shingled} AS s FROM (SELECT row_number() OVER () AS rid, doc_id, {plain} AS w FROM documents) WHERE w <> ['']),
+b AS (SELECT item, item_id, {shingled} AS s FROM (SELECT row_number() OVER () AS item, item_id, {plain} AS w FROM benchmark) WHERE w <> ['']),
+dp AS (SELECT rid, doc_id, nw, unnest(s) AS h, unnest(range(len(s))) AS pos, len(s) AS m FROM d),
 bp AS (SELECT item, item_id, unnest(s) AS h, len(s) AS k FROM b),
 bc AS (SELECT item, item_id, k, h, count(*) AS c FROM bp GROUP BY ALL),
-hit AS (SELECT DISTINCT rid, doc_id, n, pos, item, item_id, k FROM dp JOIN bc USING (h)),
-win AS (SELECT DISTINCT rid, doc_id, item, item_id, k, unnest(range(greatest(pos - k + 1, 0), least(pos, n - k) + 1)) AS start FROM hit),
+hit AS (SELECT DISTINCT rid, doc_id, nw, m, least(m, k) AS n, pos, item, item_id, k FROM dp JOIN bc USING (h)),
+win AS (SELECT DISTINCT rid, doc_id, nw, item, item_id, k, n, unnest(range(greatest(pos - n + 1, 0), least(pos, m - n) + 1)) AS start FROM hit),
 cnt AS (
-  SELECT win.rid, win.doc_id, win.item, win.item_id, win.k, win.start, dp.h, count(*) AS c
-  FROM win JOIN dp ON dp.rid = win.rid AND dp.pos >= win.start AND dp.pos < win.start + win.k GROUP BY ALL
+  SELECT win.rid, win.doc_id, win.nw, win.item, win.item_id, win.k, win.n, win.start, dp.h, count(*) AS c
+  FROM win JOIN dp ON dp.rid = win.rid AND dp.pos >= win.start AND dp.pos < win.start + win.n GROUP BY ALL
 ),
 sim AS (
-  SELECT cnt.rid, cnt.doc_id, cnt.item, cnt.item_id, cnt.k, cnt.start, sum(least(cnt.c, bc.c))::DOUBLE AS shared
+  SELECT cnt.rid, cnt.doc_id, cnt.nw, cnt.item, cnt.item_id, cnt.k, cnt.n, cnt.start, sum(least(cnt.c, bc.c))::DOUBLE AS shared
   FROM cnt JOIN bc ON bc.item = cnt.item AND bc.h = cnt.h GROUP BY ALL
 ),
-ok AS (SELECT *, shared / (2 * k - shared) AS similarity FROM sim WHERE shared / (2 * k - shared) >= {similarity})
-SELECT doc_id, item_id, round(similarity, 9) AS similarity, start::BIGINT AS start_word, (k + {last})::BIGINT AS n_words
+ok AS (SELECT *, shared / (n + k - shared) AS similarity FROM sim WHERE shared / (n + k - shared) >= {similarity})
+SELECT doc_id, item_id, round(similarity, 9) AS similarity, start::BIGINT AS start_word, least(n + {last}, nw)::BIGINT AS n_words
 FROM (SELECT *, row_number() OVER (PARTITION BY rid, item ORDER BY similarity DESC, start) AS r FROM ok) WHERE r = 1
 """

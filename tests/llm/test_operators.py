@@ -335,6 +335,30 @@ def test_language_edge_cases(spark, empty):
     assert b"".join(langid.segments(b"ab " * 5000)) == b"ab " * 5000
 
 
+def test_language_by_length(spark):
+    """Snippets of held-out texts of all lengths, in dictionaries alone, and sizes worked out again."""
+    import zstandard
+
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    of = langid.Classifier(langid.train(docs))
+    rows = [r for r in docs.select("doc_id", "text", "lang").collect() if r["text"] and r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0][:400]
+    rng, right = random.Random(1), {}
+    for r in rows:
+        words = langid.words_only(r["text"]).decode().split()
+        for n in (4, 8, 16, 40, 160):
+            if len(words) >= n:
+                at = rng.randrange(len(words) - n + 1)
+                right.setdefault(n, []).append(of(" ".join(words[at : at + n]))[0] == r["lang"])
+    assert all(sum(x) / len(x) > (0.9 if n < 8 else 0.95) for n, x in right.items()), {n: sum(x) / len(x) for n, x in right.items()}
+    model = langid.Model(["a", "b"], [b"the and of " * 50, b"und der die " * 50])
+    for text in ("x", "the and", "und der " * 900):
+        raw = langid.words_only(text)
+        for d, size in zip(model.dictionaries, langid.Classifier(model).sizes(text)):
+            c = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            assert abs(sum(len(c.compress(x + langid.RUN)) for x in langid.segments(raw)) - size) <= 4 * len(langid.segments(raw))
+
+
 def test_language_is_learned_from_whole_texts(spark):
     """Texts that open with the same boilerplate, and more texts without letters than a language has places."""
     rng = random.Random(6)
@@ -410,6 +434,7 @@ def test_top_k_equals_brute_force(spark, cell, page):
     centers = rng.normal(size=(6, 8))
     rows = [(i, [float(x) for x in (centers[i % 6] + rng.normal(size=8) * 0.05) * (1 + i % 3)]) for i in range(500)]
     rows += [(1000 + i, [0.5] * 8) for i in range(150)]  # equal vectors: ties
+    rows += [(3000 + i, [float(e) for e in v]) for i, v in enumerate([[2.0**21] + [0.0] * 7, [-(2.0**38)] + [0.25] * 7, [0.0] * 7 + [2.0**38], [2.0**21] * 8, [1e-3] * 8, [0.0, 2.0**38] + [0.0] * 6])]
     rows += [(2000, None), (2010, [None] * 8), (2020, [float("nan")] * 8), (2030, [1.0, 2.0]), (2040, []), (None, [0.1] * 8), (2050, [float("inf")] * 8)]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, dim int, cell int").repartition(5)
     old = mtree.CELL_ROWS, mtree.PAGE_ENTRIES
@@ -418,10 +443,19 @@ def test_top_k_equals_brute_force(spark, cell, page):
         got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.top_k(df, F.expr("vec_id % 10 = 0"), k=7).collect()}
     finally:
         mtree.CELL_ROWS, mtree.PAGE_ENTRIES = old
-    assert got == slow_top_k(rows, 7, lambda q: q % 10 == 0)
+    expected = slow_top_k(rows, 7, lambda q: q % 10 == 0)
+    assert max(abs(e[3]) for e in expected) > 2**53
+    assert got == expected
     assert mtree.top_k(df.limit(0), F.expr("vec_id % 10 = 0")).count() == 0
 
 
+def test_a_score_beyond_a_long_is_an_error(spark):
+    df = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40]), (2, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+        mtree.top_k(df, F.expr("vec_id = 0"), k=1).collect()
+    assert [(r["vec_id"], r["score"]) for r in mtree.top_k(df, F.expr("vec_id = 2"), k=1).collect()] == [(0, 2**60)]
+
+
 def test_bounds_save_distances():
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.integers(-20, 20, size=(200, 6)) + 1000 * c for c in rng.integers(-3, 3, size=(10, 6))])
@@ -443,16 +477,17 @@ def slow_contaminated(docs, items, t=0.8):
     from collections import Counter
 
     cut = lambda x: regex.findall(r"[\p{L}\p{N}]+", (x or "").lower())
-    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
     out = []
     for d, x in docs:
         g = grams(cut(x))
         for i, y in items:
             h = grams(cut(y))
             c, best = Counter(h), None
-            for s in range(len(g) - len(h) + 1) if h else ():
-                shared = sum((Counter(g[s : s + len(h)]) & c).values())
-                sim = shared / (2 * len(h) - shared)
+            n = min(len(g), len(h))
+            for s in range(len(g) - n + 1) if n else ():
+                shared = sum((Counter(g[s : s + n]) & c).values())
+                sim = shared / (n + len(h) - shared)
                 if sim >= t and (best is None or sim > best[0]):
                     best = (sim, s)
             if best:
@@ -463,8 +498,8 @@ def slow_contaminated(docs, items, t=0.8):
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
-    items = [(i, " ".join(word() for _ in range(rng.randint(12, 60)))) for i in range(8)] + [(8, "too short here"), (9, None), (None, " ".join(word() for _ in range(20))), (11, "la " * 30)]
-    docs = [(0, None), (1, ""), (2, " ".join(word() for _ in range(300))), (3, "la " * 100), (None, f"a {items[1][1]} b"), (5, "few words")]
+    items = [(i, " ".join(word() for _ in range(rng.randint(12, 60)))) for i in range(8)] + [(8, "too short here"), (12, "One"), (13, "a b c d"), (9, None), (None, " ".join(word() for _ in range(20))), (11, "la " * 30)]
+    docs = [(0, None), (1, ""), (2, " ".join(word() for _ in range(300))), (3, "la " * 100), (None, f"a {items[1][1]} b"), (5, "few words"), (6, "Too short, here!"), (7, "and too short here it is"), (8, "one"), (9, "a b c")]
     for k in range(40):
         i, t = rng.choice(items[:8] + items[10:11])
         w = t.split()
