@@ -116,12 +116,84 @@ def test_packing(docs, empty):
         ("<div id='sidebar'><p>no end<article><p>kept</p></article>", "kept"),
         ("<header>Site</header><div>" + "<p>" + "long text " * 30 + "</p></div><div><a href='/'>home</a></div>", ("long text " * 30).strip()),
         ("<article><p>a</p><!-- <p>hidden</p> --><p>b</p></article>", "a\n\nb"),
+        ('<article><p class="ad">Ad<p>Real.<p>Two.</article>', "Real.\n\nTwo."),
+        ("<article><ul><li class=promo>Buy<li>one<li>two</ul><table><tr><td class='ad'>x<td>y</table></article>", "one\n\ntwo\n\ny"),
+        ('<article><p class="social-science">S</p><section class="related-work">R</section><details class="notice-of-death">N</details><div class="cookieBanner">C</div></article>', "S\n\nR\n\nN"),
+        ("<div class='layout-sidebar-right'><nav>n</nav><main><h1>T</h1><p>kept</p></main></div>", "T\n\nkept"),
+        ("<article><p>kept</p><div class='related'><article class='card'>other</article></div></article>", "kept"),
+        ('<article><p title="a>b">one</p><p title="x>two</p></article>', "one\n\ntwo"),
+        ("<div><h1>Title</h1><p>" + "some words " * 12 + "</p><p>End.</p></div><div><a href=/>home</a></div>", "Title\n\n" + ("some words " * 12).strip() + "\n\nEnd."),
+        ("<div><p>short page</p><p>two</p></div>", "short page\n\ntwo"),
+        ("<main>Loading</main><div>" + "<p>" + "real text " * 40 + "</p></div>", "Loading\n\n" + ("real text " * 40).strip()),
+        ("a < b &amp; <3 <![CDATA[c < d &amp;]]>", "a < b & <3 c < d &amp;"),
     ],
 )
 def test_main_text(page, expected):
     assert html.main_text(page) == expected
 
 
+def slow_between(lengths, surge, joined, window=3):
+    """The kept lines by the rule alone: a line is kept if, without a silent window between, a surge lies before it (or is joined behind it)."""
+    n, kept = len(lengths), set()
+    start = 0
+    while start < n:
+        if not sum(lengths[start : start + window]):
+            start += 1
+            continue
+        stop = next((e for e in range(start, n) if not sum(lengths[e : e + window])), n)
+        points = [i for i in range(start, stop) if lengths[i] and sum(lengths[i : i + window]) > surge]
+        if points:
+            first = points[0]
+            while first > start and lengths[first - 1] and joined[first - 1]:
+                first -= 1
+            kept |= set(range(first, 1 + max(i for i in range(first, stop) if lengths[i])))
+        start = stop
+    return kept
+
+
+def test_line_blocks_equal_brute_force():
+    rng = random.Random(3)
+    for _ in range(3000):
+        n = rng.randint(0, 25)
+        lengths = [rng.choice([0, 0, 0, 1, 5, 40, 90, 300]) for _ in range(n)]
+        joined, surge = [rng.random() < 0.4 for _ in range(n)], rng.choice([0, 20, 86])
+        got = html.between_points(lengths, surge, joined)
+        assert {i for a, b in got for i in range(a, b)} == slow_between(lengths, surge, joined), (lengths, surge, joined)
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_generated_pages(article):
+    """Paragraphs of an article between boilerplate of all kinds, with and without an element that marks it."""
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choice("abcdeiou") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    for _ in range(300):
+        body = [say(5)] + [say(rng.randint(20, 60)) for _ in range(rng.randint(1, 8))]
+        inner = f"<h1>{body[0]}</h1>" + "".join(f"<p>{t[:9]}<b>{t[9:]}</b>" + rng.choice(["</p>", ""]) + rng.choice(["", "<!-- x -->", "<script>var a='<p>';</script>"]) for t in body[1:])
+        tag = rng.choice(["article", "main"]) if article else "div"
+        junk = [f"<nav><ul><li><a href='/'>{say(2)}</a></ul></nav>", f"<div class='ad-slot-3'>{say(9)}</div>", f"<aside>{say(30)}</aside>", f"<form>{say(5)}<input></form>", f"<section id=comments><p>{say(40)}</section>", f"<div role=dialog>{say(30)}</div>"]
+        page = f"<html><head><title>{say(9)}</title></head><body>" + "".join(rng.sample(junk, 3)) + f"<{tag}>{inner}</{tag}>" + "".join(rng.sample(junk, 3)) + f"<footer>{say(12)}</footer></body></html>"
+        assert html.main_text(page) == "\n\n".join(body), page
+
+
+@pytest.mark.parametrize("piece, tail", [("<a ", '"'), ('<a x="', ""), ("<p class=ad>", ""), ("<", ""), ("<b>", "</i>" * 9000), ("<li><ul>", "</li>" * 9000), ("<div class=ad><article class=comment>", ""), ("<!--", ""), ("&", ""), ("=" , "<a" + " " * 9000 + '"' * 9000), ("<![CDATA[", "")])
+def test_malformed_pages_take_linear_time(piece, tail):
+    import time
+
+    began = time.process_time()
+    for n in (9000, 36000):
+        html.main_text(piece * n + tail)
+    assert time.process_time() - began < 8
+
+
+def test_long_pages_and_odd_tables(spark, empty):
+    page = "<article>" + "<p>paragraph of words</p>" * 200_000 + "</article>"  # 5 MB
+    assert html.main_text(page).count("paragraph") == 200_000
+    df = spark.createDataFrame([(1, page[:90]), (1, page[:90]), (2, None), (3, "")], "page_id long, html string")
+    got = df.select("page_id", html.extract(F.col("html")).alias("text")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got)[2:] == [(2, ""), (3, "")] and len({r["text"] for r in got}) == 2
+    assert empty.select(html.extract(F.col("text")).alias("t")).count() == 0
+
+
 def test_pages_query(spark):
     rows = Q.op2_main_text(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
