@@ -7,6 +7,25 @@ from pyspark.sql import functions as F
 
 from .storage import written
 
+#: Rows of a key beyond which they are dealt to several tasks, where the table is small, and such keys at most.
+HOT_ROWS, MOST_HOT = 256, 250_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, tie: str, how: str = "inner") -> DataFrame:
+    """``left`` joined on ``key`` with ``right``, which has a row a key, so that no key's rows all meet in one task.
+
+    ``counts`` (key, n) tells how many rows of ``left`` a key has. A key of more than HOT_ROWS, or than
+    a MOST_HOTth of all rows if that is more, is cut by a hash of ``tie``; so at most MOST_HOT keys
+    are cut, and their list, some 4 MB, is broadcast. Null keys find nothing.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(HOT_ROWS, total // MOST_HOT)
+    cuts = F.broadcast(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("_cuts")))
+    cut = F.coalesce("_cuts", F.lit(1))
+    dealt = left.join(cuts, key, "left").withColumn("_cut", F.pmod(F.xxhash64(tie), cut).cast("int")).drop("_cuts")
+    copies = right.join(cuts, key, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), cut - 1))).drop("_cuts")
+    return dealt.join(copies, [key, "_cut"], how).drop("_cut")
+
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node that an edge (a, b) joins to another; root is the component's least node.

@@ -72,6 +72,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, id_c
     return source.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Sequences as Parquet, a folder for each bucket of equal length."""
+def write_buckets(pieces: DataFrame, path: str) -> DataFrame:
+    """Sequences as Parquet, a folder for each bucket of equal length, read back.
+
+    Repeated rows are written each; null ids stay null; no rows give an empty table.
+    """
     pieces.write.partitionBy("length").parquet(path)
+    return pieces.sparkSession.read.schema(pieces.schema).parquet(path).select(*pieces.columns)

@@ -39,13 +39,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-def pack_digest(docs: DataFrame) -> DataFrame:
-    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=1, longest=2048)
+def pack_pieces(docs: DataFrame) -> DataFrame:
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=1, longest=2048)
+
+
+def pack_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_digest(table(spark, sf_dir, "documents"))
+    return pack_digest(pack_pieces(table(spark, sf_dir, "documents")))
 
 
 #: Rules of the URL filter's query.

@@ -4,7 +4,8 @@ Two sets of n and m shingles of similarity t (shared over all) share t * max(n,
 any order of all shingles, the first n - ceil(t * n) + 1 of each have one in common. The order puts
 those that are common in a sample of documents last, and it decides the cost alone: any order finds
 every pair. Sets that meet so, and whose sizes allow the similarity, are chained; each connected
-group of them is compared in full, and only pairs that reach the similarity are links.
+group of them is compared in full, and only pairs that reach the similarity are links. Operator 3
+adds the pairs of its fingerprints to those chains.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .simhash import bit_counts, majority
 from .storage import written
 
 WORDS, SIMILARITY = 5, 0.8
@@ -90,7 +92,7 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(text: Column, words: int, similarity: float, common) -> Column:
-    """A struct of key (equal for equal sets), n and the prefix."""
+    """A struct of key (equal for equal sets), n, fp (the SimHash of the set) and the prefix."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from xxhash import xxh64_intdigest
@@ -101,10 +103,18 @@ def _sketches(text: Column, words: int, similarity: float, common) -> Column:
             sets = [cut(t.as_py()) for t in texts]
             keys = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             first = pa.array([prefix(s, similarity, known, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.StructArray.from_arrays([pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), first], ["key", "n", "first"])
+            prints = np.array([majority(bit_counts(s), len(s)) for s in sets], np.uint64).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints), first], ["key", "n", "fp", "first"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "key long, n int, first array<long>")(text)
+    return F.arrow_udf(run, "key long, n int, fp long, first array<long>")(text)
+
+
+def sketched(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``rows`` (rid, doc_id, text, row) with the sketch of each text in place of the text, written to the shared folder."""
+    common = rows.sparkSession.sparkContext.broadcast(_common(rows.select("text"), words))
+    found = rows.select("rid", "doc_id", _sketches(F.col("text"), words, similarity, common).alias("x"), "text", "row")
+    return written(found.select("rid", "doc_id", "x.key", "x.n", "x.fp", "x.first", "text", "row"), "rows")
 
 
 def _spanning(up: dict[int, int], a: list[int], b: list[int]) -> pa.RecordBatch:
@@ -193,14 +203,15 @@ def verify(words: int, similarity: float):
     return run
 
 
-def links(rows: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+def links(rows: DataFrame, prints: DataFrame, proposed: DataFrame, words: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of keys that connect all that pairs of the similarity connect.
 
-    ``rows``: rid, key, n, first and text; ``prints``: key and rid of one row of each key.
+    ``rows``: rid, key, n, first and text; ``prints``: key and rid of one row of each key;
+    ``proposed``: pairs of keys that are compared beside those that share a shingle of their prefixes.
     """
     met = rows.select(F.explode("first").alias("h"), "n", "key")
     met = met.repartition("h").sortWithinPartitions("h", "n", "key").mapInArrow(chained(similarity), "a long, b long")
-    groups = written(connected_components(met).withColumnRenamed("node", "key"), "groups")
+    groups = written(connected_components(met.union(proposed)).withColumnRenamed("node", "key"), "groups")
     cuts = groups.groupBy("root").agg(F.ceil(F.count("*") / (BLOCK_ROWS // 2)).cast("int").alias("cuts")).withColumn("cuts", F.expr("if(cuts <= 2, 1, cuts)"))
     members = groups.join(cuts, "root").join(prints, "key").select("rid", "key", "root", "cuts")
     dealt = rows.select("rid", "text").join(members, "rid")
@@ -208,24 +219,3 @@ def links(rows: DataFrame, prints: DataFrame, words: int, similarity: float) ->
     by = ["root", "i", "j"]
     blocks = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "text")
     return blocks.repartition(*by).sortWithinPartitions(*by).mapInArrow(verify(words, similarity), "a long, b long")
-
-
-def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one of each class of near duplicates, that of the least id, null last.
-
-    A class is what pairs of the similarity connect. Texts without words are one class; rows with
-    null ids take part; an empty table gives no rows; further columns play no part.
-    """
-    text = F.col(text_col).cast("string")
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs.select(text.alias("text")), words))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), _sketches(text, words, similarity, common).alias("x"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    rows = written(rows.select("rid", "doc_id", "x.key", "x.n", "x.first", "row"), "rows")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    prints = written(rows.groupBy("key").agg(F.min(place).alias("least")), "prints")
-    found = links(rows.select("rid", "key", "n", "first", F.col("row").getField(text_col).cast("string").alias("text")), prints.select("key", F.col("least.rid").alias("rid")), words, similarity)
-    linked = prints.join(connected_components(found).withColumnRenamed("node", "key"), "key")
-    heads = linked.groupBy("root").agg(F.min("least").alias("head"))
-    moved = linked.select("key", "root").join(heads, "root").select("key", "head")
-    heads = prints.join(moved, "key", "left").select("key", F.coalesce("head", "least").getField("rid").alias("head"))
-    gone = rows.select("rid", "key").join(heads, "key").where("rid <> head").select("rid")
-    return rows.join(gone, "rid", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

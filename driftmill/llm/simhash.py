@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, hot_join
 from .storage import written
 
 #: Shingles handled at once while a text is hashed; bounds memory on very long texts.
@@ -53,7 +53,17 @@ def simhash(text: str | None, words: int = 4, seed: int = 42) -> int:
     for at in range(0, n, SHINGLES_AT_ONCE):
         upto = min(n, at + SHINGLES_AT_ONCE)
         hashes = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[at:upto].tolist(), ends[at + k - 1 : upto + k - 1].tolist())]
-        ones += np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += bit_counts(np.array(hashes, "<u8"))
+    return majority(ones, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes whose bits were counted."""
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
@@ -291,20 +301,23 @@ def near_duplicates(rows: DataFrame, radius: int = 4) -> DataFrame:
     each class: that of the least doc_id, null last, then of the least rid.
     """
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    prints = written(rows.groupBy("fp").agg(F.min(place).alias("least")), "prints")
-    links = hamming_links(prints.select("fp"), radius)
-    roots = connected_components(links)
-    linked = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
-    heads = linked.groupBy("root").agg(F.min("least").alias("head"))
-    moved = linked.select("fp", "root").join(heads, "root").select("fp", "head")
-    heads = prints.join(moved, "fp", "left").select("fp", F.coalesce("head", "least").alias("head"))
-    return rows.join(heads, "fp").select(*rows.columns, F.col("head.doc_id").alias("component_id"), (F.col("rid") == F.col("head.rid")).alias("keep"))
-
-
-def fingerprint_rows(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """(rid, doc_id, fp) of every row, written to the shared folder; with ``carry`` also ``row``, the whole row."""
-    kept = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col).cast("string"), words).alias("fp"), *kept)
+    prints = written(rows.groupBy("fp").agg(F.min(place).alias("least"), F.count("*").alias("n")), "prints")
+    heads = written(class_heads(prints, "fp", connected_components(hamming_links(prints.select("fp"), radius))), "heads")
+    found = hot_join(rows, heads, "fp", prints.select("fp", "n"), "rid")
+    return found.select(*rows.columns, F.col("head.doc_id").alias("component_id"), (F.col("rid") == F.col("head.rid")).alias("keep"))
+
+
+def class_heads(prints: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """(key, head) of every row of ``prints`` (key, least): the least place of its class, which ``roots`` (node, root) tells."""
+    linked = written(prints.select(key, "least").join(roots.withColumnRenamed("node", key), key), "linked")
+    heads = linked.groupBy("root").agg(F.min("least").alias("head"), F.count("*").alias("n"))
+    moved = hot_join(linked.select(key, "root"), heads.select("root", "head"), "root", heads.select("root", "n"), key).select(key, "head")
+    return prints.join(moved, key, "left").select(key, F.coalesce("head", "least").alias("head"))
+
+
+def fingerprint_rows(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rid, doc_id, fp) of every row, written to the shared folder."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col).cast("string"), words).alias("fp"))
     return written(rows, "rows")
 
 
@@ -319,8 +332,32 @@ def classify(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "do
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "keep")
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one of each class of near duplicates."""
-    rows = fingerprint_rows(docs, words, id_col, text_col, carry=True)
-    gone = near_duplicates(rows.select("rid", "doc_id", "fp"), radius).where("not keep").select("rid")
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each class of near duplicates, that of the least id, null last, then of the first row.
+
+    A class is what pairs connect whose sets of word shingles have the similarity or more (shared over
+    all, exactly). Fingerprints within the radius propose pairs; what they leave out comes from shared
+    rare shingles (``shingles``), since at similarity 0.8 some ten of 64 bits differ and no radius that
+    finds all such pairs separates them from others. Every proposal is compared exactly.
+
+    Texts without words are one class; rows with null ids take part; of repeated rows one stays; an
+    empty table gives no rows; columns of any name are kept as they are.
+    """
+    from . import shingles
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = shingles.sketched(rows, words, similarity)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    prints = written(rows.groupBy("key").agg(F.min(place).alias("least"), F.min("fp").alias("fp"), F.count("*").alias("n")), "prints")
+    same = prints.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n"))
+    same = written(same, "same")
+    alike = hot_join(prints.select("key", "fp"), same.select("fp", "head"), "fp", same.select("fp", "n"), "key")
+    alike = alike.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    close = hamming_links(same.select("fp"), radius)
+    for end in ("a", "b"):
+        close = close.join(same.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_key")), end)
+    proposed = alike.union(close.select("a_key", "b_key"))
+    found = shingles.links(rows, prints.select("key", F.col("least.rid").alias("rid")), proposed, words, similarity)
+    heads = class_heads(prints, "key", connected_components(found)).select("key", F.col("head.rid").alias("head"))
+    gone = hot_join(rows.select("rid", "key"), heads, "key", prints.select("key", "n"), "rid").where("rid <> head").select("rid")
     return rows.join(gone, "rid", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -88,7 +88,9 @@ def judge(urls: DataFrame, links: DataFrame, rules: list[Rule], url_col: str = "
     The verdict is the longest fitting rule's; without one, an allow if any alias (a URL that
     ``links`` join to it over any number of steps) has an allowing rule, else a block if any has a
     blocking one, else ``default``. A null URL has an empty host and path and no alias. Repeated rows
-    are judged each; columns of any name are kept apart in ``row``.
+    are judged each; columns of any name are kept apart in ``row``; URLs of any length are judged
+    whole; an empty table gives no rows, and without links only the rules and the default decide.
+    Of aliases that differ in verdict an allow wins; of rules equally long an allow too.
     """
     edges = links.select(resource(F.col("source")).alias("from"), resource(F.col("target")).alias("to")).where("`from` <> `to`").distinct()
     edges = written(edges, "links")
@@ -98,8 +100,8 @@ def judge(urls: DataFrame, links: DataFrame, rules: list[Rule], url_col: str = "
     if edges.isEmpty():
         verdict = F.coalesce("own.verdict", F.lit(default))
         return own.select("row", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"))
-    # Components are of numbers: the hash of a URL, by which the joins below also go.
-    number = lambda c: F.xxhash64(c)
+    # Components are of digests of URLs: 128 bits, so that unrelated components don't merge by chance.
+    number = lambda c: F.md5(F.col(c).cast("binary"))
     roots = connected_components(edges.select(number("from").alias("a"), number("to").alias("b")))
     nodes = edges.select(F.col("from").alias("u")).union(edges.select(F.col("to").alias("u"))).distinct()
     nodes = nodes.withColumn("verdict", longest_rule(host(F.col("u")), path(F.col("u")), rules).getField("verdict"))
@@ -107,9 +109,12 @@ def judge(urls: DataFrame, links: DataFrame, rules: list[Rule], url_col: str = "
     allows, blocks = (F.max(F.coalesce(F.col("verdict") == v, F.lit(False))) for v in (ALLOW, BLOCK))
     classes = nodes.groupBy("root").agg(allows.alias("allows"), blocks.alias("blocks")).where("allows or blocks")
     passed = nodes.join(classes, "root").select("u", F.when(F.col("allows"), ALLOW).otherwise(BLOCK).alias("passed"))
-    judged = own.withColumn("u", F.when(F.col("own").isNull(), resource(F.col("url")))).join(passed, "u", "left")
-    verdict = F.coalesce("own.verdict", "passed", F.lit(default))
-    return judged.select("row", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"))
+    # Rows with a rule of their own stay out of the join.
+    ruled = own.where("own is not null").select("row", "host", "path", F.col("own.rule").alias("rule"), F.col("own.verdict").alias("verdict"))
+    rest = own.where("own is null").withColumn("u", resource(F.col("url")))
+    named = rest.where("u is not null").join(passed, "u", "left").select("row", "host", "path", "passed")
+    named = named.unionByName(rest.where("u is null").select("row", "host", "path", F.lit(None).cast("string").alias("passed")))
+    return ruled.unionByName(named.select("row", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("passed", F.lit(default)).alias("verdict")))
 
 
 def oracle(rules: list[Rule]) -> str:

@@ -99,6 +99,10 @@ def test_packing(docs, empty):
         if TEXTS.count((i, t)) == 1:
             assert [x for _, p in pieces for x in p] == ids
     assert packing.pack(empty, WORD, 1).count() == 0
+    written = packing.write_buckets(packing.pack(docs, WORD, end_id=1), storage.fresh_path(docs.sparkSession, "test"))
+    key = lambda x: sorted(str(tuple(r)) for r in x)
+    assert key(written.collect()) == key(packing.pack(docs, WORD, end_id=1).collect())
+    assert packing.write_buckets(packing.pack(empty, WORD, end_id=1), storage.fresh_path(docs.sparkSession, "test")).count() == 0
     assert packing.decompose(2048 * 2 + 5, 2048) == [(0, 2048), (2048, 2048), (4096, 4), (4100, 1)]
 
 
@@ -252,6 +256,7 @@ def test_simhash_edge_cases(docs, empty):
     assert simhash.classify(empty).count() == 0
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and kept.where("text = 'again three'").count() == 1
+    assert kept.where("doc_id = 3").count() == 1 and kept.where("doc_id is null").count() == 1  # the empty text goes with the null one
 
 
 @pytest.mark.parametrize("n, radius", [(400, 4), (300, 7), (2, 4)])
@@ -339,12 +344,12 @@ def test_stage_keeps_one_of_texts_of_similarity(spark, block):
     df = spark.createDataFrame([(i, texts[i], 1) for i in rng.sample(order, len(order))], "doc_id long, text string, key int").repartition(3)
     old, shingles.BLOCK_ROWS = shingles.BLOCK_ROWS, block
     try:
-        kept = shingles.keep_one(df)
+        kept = simhash.keep_one(df)
         assert kept.columns == df.columns
         assert sorted(r["doc_id"] for r in kept.collect()) == slow_similar(texts)
     finally:
         shingles.BLOCK_ROWS = old
-    assert shingles.keep_one(df.limit(0)).count() == 0
+    assert simhash.keep_one(df.limit(0)).count() == 0
 
 
 def test_pipeline_stage_removes_all_similar_texts(spark):
