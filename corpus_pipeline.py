@@ -1,47 +1,61 @@
 """A training-corpus pipeline: toxicity, language ID, near-dedup, decontamination and packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's documents. All stages but the last return the columns of ``documents``.
+again as the next stage's documents. All stages but the last return the columns of ``documents``,
+whatever they are called, in whole rows. An empty table passes through every stage as an empty one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmill.llm import decontam, langid, shingles, toxicity
-from driftmill.llm.queries import pack_digest, table
+from driftmill.llm import decontam, langid, packing, simhash, toxicity
+from driftmill.llm.queries import pack_digest, pack_pieces, table
 from driftmill.llm.storage import fresh_path
 from driftmill.ship import ship
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on the labelled ones among ``docs``, doesn't reject."""
+    """Documents that the toxicity model, trained on the labelled ones among ``docs``, doesn't reject.
+
+    Null and empty texts have no sign of toxicity and stay; repeated rows fare alike; without labels all stay.
+    """
     ship(spark)
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified by an accepted margin."""
+    """Documents whose language is identified by an accepted margin.
+
+    Null and empty texts and those without a letter have no language and go; repeated rows fare alike.
+    """
     ship(spark)
     return langid.keep_known(docs, langid.train(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: five-word shingles of similarity 0.8 or more, exactly."""
+    """One document of each class of near duplicates: five-word shingles of similarity 0.8 or more, exactly.
+
+    That of the least id stays, null ids last; of repeated rows one; texts without words are one class.
+    """
     ship(spark)
-    return shingles.keep_one(docs, words=5, similarity=0.8)
+    return simhash.keep_one(docs, words=5, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, repeated rows fare alike."""
     ship(spark)
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents that are left."""
+    """The sequences of the documents that are left, written in a folder for each length, and a row for each of them.
+
+    A null or empty text is a sequence of the end id alone; repeated rows are packed each. The ids are
+    in the folder, the rows returned tell where a sequence belongs and its checksum.
+    """
     ship(spark)
-    return pack_digest(docs)
+    return pack_digest(packing.write_buckets(pack_pieces(docs), fresh_path(spark, "sequences")))
 
 
 STAGES = [
