@@ -397,7 +397,7 @@ def without_empty_tail(parts: Column) -> Column:
 
 
 def converted(e: Events, name: str, kind: str) -> Column:
-    """A value in another type; texts that can't be read stay, as texts, where any row needs that."""
+    """A value in another type; a text that can't be read becomes null, since a column has one type."""
     eu = kind.endswith("_eu")
     plain = lambda c: F.regexp_replace(F.replace(F.replace(c.cast("string"), F.lit("."), F.lit("")), F.lit(","), F.lit(".")) if eu else c.cast("string"), "[,_]" if not eu else "_", "")
 
@@ -631,14 +631,20 @@ def f_urldecode(e: Events, p: Plugin, guard):
 
 
 def f_split(e: Events, p: Plugin, guard):
-    """One event for each element; fields that are neither text nor list get a tag."""
+    """One event for each element; fields that are neither text nor list get a tag.
+
+    A list that only some events split would be a text in those and a list in the others, which one
+    column can't be: that is refused unless a target takes the elements.
+    """
     name = field_name(p.get("field", "message"))
     target = field_name(p.get("target", name))
     c = e.get(name)
+    if guard is not None and target == name and e.is_array(name):
+        raise Refused(f"split of the list {name!r} in a branch needs a target")
     if not (e.is_string(name) or e.is_array(name)):
         return e.add_tags(["_split_type_failure"], guard)
     parts = e._as_list(c, e.dtype(name)) if e.is_array(name) else F.filter(F.split(c, re.escape(str(p.get("terminator", "\n")))), lambda v: v != "")
-    whole = F.array(c.cast("string")) if not e.is_array(name) else F.array(F.array_join(parts, ","))
+    whole = F.array(c.cast("string")) if not e.is_array(name) else F.slice(parts, 1, 0)  # none: one event, as it is
     listed = parts if guard is None else F.when(F.coalesce(guard, F.lit(False)), parts).otherwise(whole)
     e.df = e.df.withColumn("@metadata._part", F.explode_outer(listed))
     e = e.remove(name) if target == name and e.is_array(name) else e

@@ -87,8 +87,14 @@ def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["ls_route"] = _routes
 SQL["ls_route"] = "SELECT event_id, CASE WHEN value > 50 THEN 'file' WHEN event_type = 'view' THEN 'stdout' ELSE 'null' END AS sink FROM events"
 
+filters("mutate_names", "events", 'mutate { rename => { "event_type" => "kind" } update => { "kind" => "%{kind}!" "none" => "x" } capitalize => ["kind"] strip => ["label"] merge => { "list" => "more" } coerce => { "empty" => "given" } remove_field => ["more"] }', ["event_id", "kind", "label", "array_join(list, ',') AS list", "empty"], "SELECT event_id, upper(left(event_type, 1)) || substr(event_type, 2) || '!' AS kind, 'a b' AS label, 'p,q' AS list, 'given' AS empty FROM events", ["event_id", "event_type", "'  a b ' AS label", "array('p') AS list", "array('q') AS more", "cast(null as string) AS empty"])
+filters("split_branch", "events", 'if [event_id] == 2 { split { field => "l" target => "one" } }', ["event_id", "array_join(l, '+') AS l", "one"], "SELECT event_id, 'a+b' AS l, NULL AS one FROM events WHERE event_id <> 2 UNION ALL SELECT event_id, 'a+b', unnest(['a', 'b']) FROM events WHERE event_id = 2", ["event_id", "array('a', 'b') AS l"])
+filters("grok_ip", "events", 'grok { match => { "line" => "^%{IP:ip} %{EMAILADDRESS:mail} %{LOGLEVEL:level}$" } }', ["event_id", "ip", "mail", "level"], "SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'fe80::1' WHEN 1 THEN '10.0.0.1' END AS ip, CASE WHEN user_id % 3 < 2 THEN 'a.b@c.example' END AS mail, CASE WHEN user_id % 3 < 2 THEN 'WARN' END AS level FROM events", ["event_id", "concat(case user_id % 3 when 0 then 'fe80::1' when 1 then '10.0.0.1' else '12:34:56' end, ' a.b@c.example WARN') AS line"])
+
 # ---------------------------------------------------------------- processors
 
+process("lower_decode", "events", [{"lowercase": {"field": "a"}}, {"urldecode": {"field": "b"}}], ["event_id", "a", "b"], "SELECT event_id, event_type AS a, 'x y&' || user_id AS b FROM events", ["event_id", "upper(event_type) AS a", "concat('x%20y%26', user_id) AS b"])
+process("dot_expander", "events", [{"dot_expander": {"field": "a.b"}}, {"set": {"field": "c", "copy_from": "a.b"}}], ["event_id", "c"], "SELECT event_id, event_type AS c FROM events", ["event_id", "event_type AS `a.b`"])
 process("set_rename_remove", "events", [{"set": {"field": "label", "value": "{{event_type}}-{{user_id}}"}}, {"set": {"field": "event_type", "value": "x", "override": False}}, {"rename": {"field": "value", "target_field": "v"}}, {"remove": {"field": ["props", "none"], "ignore_missing": True}}], ["event_id", "label", "event_type", "v"], "SELECT event_id, event_type || '-' || user_id AS label, event_type, value AS v FROM events")
 process("append", "events", [{"append": {"field": "tags", "value": ["a", "{{event_type}}", "a"], "allow_duplicates": True}}, {"append": {"field": "tags", "value": ["a", "z"], "allow_duplicates": False}}], ["event_id", "array_join(tags, ',') AS tags"], "SELECT event_id, 'a,' || event_type || ',a,z' AS tags FROM events")
 process("text", "documents", [{"set": {"field": "t", "copy_from": "source"}}, {"uppercase": {"field": "t"}}, {"gsub": {"field": "t", "pattern": "[0-9]", "replacement": "#"}}, {"trim": {"field": "lang"}}], ["doc_id", "t", "lang"], "SELECT doc_id, regexp_replace(upper(source), '[0-9]', '#', 'g') AS t, lang FROM documents", ["doc_id", "source", "concat('  ', lang, ' ') AS lang"])
@@ -124,6 +130,26 @@ def analyzed(name: str, source: str, column: str, key: str, analyzer, sql: str,
 
 
 analyzed("whitespace", "part", "p_name", "p_partkey", "whitespace", "string_split(p_name, ' ')")
+WORDS = "string_split(p_name, ' ')"
+for _n, _spec, _sql in (
+    ("standard", "standard", f"list_transform({WORDS}, lambda t: lower(t))"),
+    ("simple", "simple", f"list_transform({WORDS}, lambda t: lower(t))"),
+    ("stop", "stop", f"list_transform({WORDS}, lambda t: lower(t))"),
+    ("pattern", "pattern", f"list_transform({WORDS}, lambda t: lower(t))"),
+    ("keyword", "keyword", "[p_name]"),
+    ("letter", {"tokenizer": "letter"}, WORDS),
+    ("lowercase", {"tokenizer": "lowercase"}, f"list_transform({WORDS}, lambda t: lower(t))"),
+    ("standard_tokens", {"tokenizer": "standard"}, WORDS),
+    ("keyword_tokens", {"tokenizer": "keyword", "filter": ["trim"]}, "[p_name]"),
+    ("pattern_tokens", {"tokenizer": {"type": "pattern", "pattern": " "}}, WORDS),
+    ("char_group", {"tokenizer": {"type": "char_group", "tokenize_on_chars": ["whitespace"]}}, WORDS),
+    ("length", {"tokenizer": "whitespace", "filter": [{"type": "length", "min": 5, "max": 6}]}, f"list_filter({WORDS}, lambda t: length(t) BETWEEN 5 AND 6)"),
+    ("pattern_replace", {"tokenizer": "whitespace", "filter": [{"type": "pattern_replace", "pattern": "[aeiou]", "replacement": "_"}]}, f"list_transform({WORDS}, lambda t: regexp_replace(t, '[aeiou]', '_', 'g'))"),
+    ("filter_edge_ngram", {"tokenizer": "whitespace", "filter": [{"type": "edge_ngram", "min_gram": 2, "max_gram": 2}]}, f"list_transform(list_filter({WORDS}, lambda t: length(t) >= 2), lambda t: left(t, 2))"),
+    ("filter_ngram", {"tokenizer": "keyword", "filter": [{"type": "ngram", "min_gram": 3, "max_gram": 3}]}, "list_transform(range(1, length(p_name) - 1), lambda k: substr(p_name, k, 3))"),
+    ("asciifolding", {"tokenizer": "whitespace", "filter": ["asciifolding", "lowercase"]}, f"list_transform({WORDS}, lambda t: lower(t))"),
+):
+    analyzed(_n, "part", "p_name", "p_partkey", _spec, _sql)
 analyzed("custom", "part", "p_name", "p_partkey", {"tokenizer": "whitespace", "filter": ["uppercase", "reverse", {"type": "truncate", "length": 3}]}, "list_transform(string_split(p_name, ' '), lambda t: left(reverse(upper(t)), 3))")
 analyzed("edge_ngram", "part", "p_name", "p_partkey", {"tokenizer": {"type": "edge_ngram", "min_gram": 2, "max_gram": 4}}, "list_transform(range(2, least(length(p_name), 4) + 1), lambda k: left(p_name, k))")
 analyzed("path", "pages", "url", "page_id", {"tokenizer": "path_hierarchy", "char_filter": [{"type": "pattern_replace", "pattern": "^https?://|[?#].*$", "replacement": ""}]}, "list_transform(range(1, len(string_split(regexp_replace(url, '^https?://|[?#].*$', '', 'g'), '/')) + 1), lambda k: array_to_string(list_slice(string_split(regexp_replace(url, '^https?://|[?#].*$', '', 'g'), '/'), 1, k), '/'))")

@@ -77,6 +77,9 @@ def alias(name: str) -> str:
     out = re.sub(r"\W", "_", name)
     return f"_d{out}" if out[:1].isdigit() else out
 
+#: Buckets that gap filling makes at most, as the source engine allows.
+MOST_BUCKETS = 65_535
+
 
 class Aggregator:
     """Builds the DataFrames of a request's aggregations."""
@@ -291,7 +294,10 @@ class Aggregator:
             return
         keys = [*level.keys, *key]
         if kept:
-            df = df.join(rows.select(*keys), keys, "left_semi")
+            # Null keys are keys too: a composite may have a bucket for missing values.
+            kept_keys = rows.select(*(F.col(k).alias(f"_kept_{i}") for i, k in enumerate(keys)))
+            same = [F.col(k).eqNullSafe(F.col(f"_kept_{i}")) for i, k in enumerate(keys)]
+            df = df.join(kept_keys, same, "left_semi")
         inner = Level(df, keys, histogram or level.histogram, False)
         for n, b in below.items():
             if self.kind(n, b) == "top_hits":
@@ -403,6 +409,8 @@ class Aggregator:
             raise Refused("size must be positive")
         rows = self.grouped(Level(df, level.keys, level.histogram), key, subs)
         least = int(o.get("min_doc_count", 1))
+        if least < 1:
+            raise Refused("min_doc_count below 1 isn't supported: terms without rows aren't known")
         if least > 1:
             rows = rows.where(F.col("doc_count") >= least)
         if where is not None:
@@ -429,17 +437,32 @@ class Aggregator:
         self.terms_like(name, [key], {}, subs, level, path, df, F.col("doc_count") <= most, [{"_count": "asc"}], 2**31 - 1)
 
     def b_significant_terms(self, name, o, subs, level, path):
-        key = alias(name)
-        df = self.include(self.with_key(level.df, key, self.source(o, level.df)), key, o)
-        self.terms_like(name, [key], {**o, "min_doc_count": o.get("min_doc_count", 3)}, subs, level, path, df)
+        self.significant(name, o, subs, level, path, lambda df: self.include(self.with_key(df, alias(name), self.source(o, df)), alias(name), o))
 
     def b_significant_text(self, name, o, subs, level, path):
         from ..functions.text import tokens
 
-        key = alias(name)
-        f = self.resolver(level.df).get(o["field"])
-        df = level.df.withColumn(key, F.explode(F.array_distinct(tokens(f.column))))
-        self.terms_like(name, [key], {**o, "min_doc_count": o.get("min_doc_count", 3)}, subs, level, path, df)
+        def words(df):
+            return df.withColumn(alias(name), F.explode(F.array_distinct(tokens(self.resolver(df).get(o["field"]).column))))
+
+        self.significant(name, o, subs, level, path, words)
+
+    def significant(self, name, o, subs, level, path, keyed):
+        """Terms by JLH: how much more of the bucket than of the background has a term, times how many times more."""
+        if unknown := set(o) - {"field", "size", "min_doc_count", "background_filter", "jlh", "include", "exclude", "filter_duplicate_text", "missing", "script"}:
+            raise Refused(f"significant terms don't know {sorted(unknown)}")
+        key, df = alias(name), keyed(level.df)
+        behind = self.base.where(self.on(self.base, o["background_filter"])) if "background_filter" in o else self.base
+        rows = self.grouped(Level(df, level.keys, level.histogram), [key], subs).where(F.col("doc_count") >= int(o.get("min_doc_count", 3)))
+        if level.keys:
+            rows = rows.join(level.df.groupBy(*level.keys).agg(F.count("*").alias("_size")), level.keys)
+        else:
+            rows = rows.crossJoin(F.broadcast(level.df.agg(F.count("*").alias("_size"))))  # one row
+        rows = rows.join(keyed(behind).groupBy(key).agg(F.count("*").alias("bg_count")), key).crossJoin(F.broadcast(behind.agg(F.count("*").alias("_behind"))))
+        here, there = F.col("doc_count") / F.col("_size"), F.col("bg_count") / F.col("_behind")
+        rows = rows.withColumn("score", (here - there) * (here / there)).where("score > 0").drop("_size", "_behind")
+        rows = self.by_path(rows, [F.desc("score"), F.asc(key)], level, int(o.get("size", 10)))
+        self.finish(name, subs, level, path, self.pipelines(subs, rows, level, [key]), [key], True, df)
 
     # ------------------------------------------------------------ histograms
 
@@ -474,10 +497,10 @@ class Aggregator:
         f = self.source(o, level.df)
         if f.kind != "date":
             raise Refused("date_histogram needs a date field")
-        if f.array:
-            f = Field(f.name, F.explode(f.column), f.dtype)
         key = alias(name)
-        start, unit, step = self.date_key(f, o)
+        start, unit, step = self.date_key(f, o) if not f.array else (None, *self.date_key(Field(f.name, F.element_at(f.column, 1), f.dtype), o)[1:])
+        if f.array:  # a row counts once a bucket
+            start = F.explode(F.array_distinct(F.transform(f.column, lambda e: self.date_key(Field(f.name, e, f.dtype), o)[0])))
         df = level.df.withColumn(key, start).where(F.col(key).isNotNull())
         zone = o.get("time_zone", self.config.timezone)
         for side, test in (("min", lambda v: F.col(key) >= v), ("max", lambda v: F.col(key) <= v)):
@@ -492,9 +515,11 @@ class Aggregator:
     def date_sequence(self, lo: Column, hi: Column, step: str, zone: str) -> Column:
         """Bucket starts; steps of a day or more are taken in local time."""
         interval = F.expr(f"INTERVAL '{step.split()[0]}' {step.split()[1]}") if "milli" not in step else F.make_dt_interval(secs=F.lit(int(step.split()[0]) / 1000))
+        length = {"millisecond": 1, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "month": 28 * 86_400_000, "year": 365 * 86_400_000}[step.split()[1].rstrip("s")] * int(step.split()[0])
+        number = (F.unix_millis(hi.cast("timestamp")) - F.unix_millis(lo.cast("timestamp"))) / F.lit(float(length)) + 1
         if zone in ("UTC", "Z") or "milli" in step:
-            return F.sequence(lo, hi, interval)
-        return F.transform(F.sequence(F.from_utc_timestamp(lo, zone), F.from_utc_timestamp(hi, zone), interval), lambda t: F.to_utc_timestamp(t, zone))
+            return limited(number, F.sequence(lo, hi, interval))
+        return limited(number, F.transform(F.sequence(F.from_utc_timestamp(lo, zone), F.from_utc_timestamp(hi, zone), interval), lambda t: F.to_utc_timestamp(t, zone)))
 
     def histogram_rows(self, rows, key, o, subs, level, sequence, bounds):
         least = int(o.get("min_doc_count", 0))
@@ -543,7 +568,7 @@ class Aggregator:
 
         def sequence(lo, hi):
             first, last = (F.round((x - offset) / step).cast("bigint") for x in (lo, hi))
-            return F.transform(F.sequence(first, last), lambda i: i * step + offset)
+            return limited(last - first + 1, F.transform(F.sequence(first, last), lambda i: i * step + offset))
 
         rows = self.histogram_rows(rows, key, o, subs, level, sequence, bounds)
         self.finish(name, subs, level, path, rows, [key], False, df)
@@ -650,9 +675,18 @@ class Aggregator:
         self.single(name, subs, level, path, self.base)
 
     def b_sampler(self, name, o, subs, level, path):
-        self.single(name, subs, level, path, level.df)
+        """With ``shard_size`` that many rows of a bucket, the first in the order of a hash of their values; without it all."""
+        if "shard_size" not in o:
+            return self.single(name, subs, level, path, level.df)
+        order, size = F.xxhash64(*(F.col(f"`{c}`") for c, t in level.df.dtypes if not t.startswith("map"))), int(o["shard_size"])
+        if not level.keys:
+            return self.single(name, subs, level, path, level.df.orderBy(order).limit(size))
+        w = Window.partitionBy(*level.keys).orderBy(order)
+        self.single(name, subs, level, path, level.df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).drop("_r"))
 
     def b_diversified_sampler(self, name, o, subs, level, path):
+        if "shard_size" in o:
+            raise Refused("shard_size isn't supported here")
         most = int(o.get("max_docs_per_value", 1))
         f = self.source(o, level.df)
         w = Window.partitionBy(f.column).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c, t in level.df.dtypes if not t.startswith("map"))))
@@ -881,10 +915,15 @@ def ip_value(text: str) -> int:
     return a << 24 | b << 16 | c << 8 | d
 
 
+def limited(number: Column, listed: Column) -> Column:
+    """A list of buckets, or an error where there are more than MOST_BUCKETS: they would all be in one row."""
+    return F.when(number <= MOST_BUCKETS, listed).otherwise(F.raise_error(F.lit(f"more than {MOST_BUCKETS} buckets between the first and the last; set min_doc_count to 1")))
+
+
 def ip_number(column: Column) -> Column:
     """An IPv4 address as a number, null for anything else."""
     parts = F.split(column, r"\.")
-    ok = column.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    ok = column.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?!$)|$)){4}$")
     value = sum((F.get(parts, F.lit(i)).try_cast("bigint") * (1 << 8 * (3 - i)) for i in range(4)), F.lit(0).cast("bigint"))
     return F.when(ok, value)
 

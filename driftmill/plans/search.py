@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import replace, dataclass, field
 from fnmatch import fnmatchcase
 
 from pyspark.sql import Column, DataFrame, Window
@@ -168,6 +168,7 @@ def search(df: DataFrame, request: str | dict, config: EngineConfig | None = Non
             notes.append(f"{k} has no effect on the rows")
     if body.get("runtime_mappings"):
         df = runtime_fields(df, body["runtime_mappings"], config, config.moment())
+    config = replace(config, now=config.moment())  # one clock for all parts of a request
     q = QueryCompiler(df, config)
     found = df.where(q.compile(body["query"])) if body.get("query") else df
     aggs = body.get("aggs") or body.get("aggregations") or {}
@@ -233,7 +234,8 @@ def nearest(rows: DataFrame, o: dict, q: QueryCompiler) -> DataFrame:
         raise Refused(f"similarity {kind!r} isn't known")
     if "filter" in o:
         rows = rows.where(q.compile(o["filter"]))
-    return rows.withColumn("_score", score[kind]()).where(F.col("_score").isNotNull()).orderBy(F.desc("_score")).limit(int(o.get("k", 10)))
+    tie = [c for c, t in rows.dtypes if t in ("bigint", "int", "string") and c != o["field"]][:1]  # the id, where there is one
+    return rows.withColumn("_score", score[kind]()).where(F.col("_score").isNotNull()).orderBy(F.desc("_score"), *(F.col(f"`{c}`") for c in tie)).limit(int(o.get("k", 10)))
 
 
 def pages(df: DataFrame, request: dict, name: str, config: EngineConfig | None = None):

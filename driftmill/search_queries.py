@@ -220,6 +220,47 @@ for _kind, _columns, _sql in (
 ):
     agg(f"pipe_{_kind}", EV, {"aggs": {"d": {**DAYS, "aggs": {"s": {"sum": {"field": "value"}}}}, "x": {_kind: {"buckets_path": "d>s"}}}}, "x", _columns, f"SELECT {_sql} FROM ({DAY_SQL})")
 
+# ---------------------------------------------------------------- significant terms, missing keys, lists, samples
+
+agg("agg_composite_missing_sub", EV, {"runtime_mappings": MAYBE, "aggs": {"c": {"composite": {"sources": [{"k": {"terms": {"field": "kind", "missing_bucket": True}}}], "size": 10}, "aggs": {"u": {"terms": {"field": "user_id", "size": 2}}}}}}, "c > u", ["k", "u", "doc_count"], "SELECT k, u, n AS doc_count FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, u) AS r FROM (SELECT nullif(event_type, 'error') AS k, user_id AS u, count(*) AS n FROM events GROUP BY 1, 2)) WHERE r <= 2")
+JLH = "SELECT f.k AS s, f.n AS doc_count, b.n AS bg_count, round((f.n / ft - b.n / bt) * ((f.n / ft) / (b.n / bt)), 9) AS score FROM (SELECT user_id AS k, count(*) AS n, sum(count(*)) OVER () AS ft FROM events WHERE event_type = 'error' GROUP BY 1) f JOIN (SELECT user_id AS k, count(*) AS n, sum(count(*)) OVER () AS bt FROM {} GROUP BY 1) b USING (k) WHERE f.n >= 3 AND f.n / ft > b.n / bt ORDER BY score DESC, s LIMIT 5"
+for _name, _more, _behind in (("agg_significant_terms", {}, "events"), ("agg_significant_background", {"background_filter": {"range": {"value": {"gt": 5}}}}, "(SELECT * FROM events WHERE value > 5)")):
+    agg(_name, EV, {"query": {"term": {"event_type": "error"}}, "aggs": {"s": {"significant_terms": {"field": "user_id", "size": 5, **_more}}}}, "s", ["s", "doc_count", "bg_count", "round(score, 9) AS score"], JLH.format(_behind))
+agg("agg_sampler_all", EV, {"aggs": {"x": {"sampler": {}, "aggs": {"by": {"terms": {"field": "event_type"}}}}}}, "x > by", ["by", "doc_count"], "SELECT event_type AS by, count(*) AS doc_count FROM events GROUP BY 1")
+agg("agg_sampler_size", EV, {"aggs": {"x": {"sampler": {"shard_size": 50}, "aggs": {"n": {"value_count": {"field": "value"}}}}}}, "x", ["doc_count", "n"], "SELECT 50 AS doc_count, 50 AS n")
+agg("agg_diversified_sampler", EV, {"aggs": {"x": {"diversified_sampler": {"field": "user_id", "max_docs_per_value": 1}, "aggs": {"u": {"cardinality": {"field": "user_id"}}}}}}, "x", ["doc_count", "u"], "SELECT count(DISTINCT user_id) AS doc_count, count(DISTINCT user_id) AS u FROM events")
+
+
+def on_rows(name: str, made: str, table: str, body: dict, path: str, columns: list[str], sql: str) -> None:
+    """As ``agg``, over a table with columns that the test tables lack."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .plans.search import search
+
+        _, config = driver_catalog(spark, sf_dir).resolve(table)
+        df = spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr("*", *made.split("; "))
+        return search(df, {"size": 0, **body}, replace(config, now=NOW)).agg(path).selectExpr(*columns)
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+SPOT = "named_struct('lat', 48 + value / 100, 'lon', 2 + user_id / 100) as spot"
+on_rows("agg_date_histogram_list", "array(ts, ts, ts + interval 1 day) as days", EV, {"aggs": {"d": {"date_histogram": {"field": "days", "calendar_interval": "day", "min_doc_count": 1}}}}, "d", ["cast(d as timestamp_ntz) AS d", "doc_count"], "SELECT date_trunc('day', t) AS d, count(*) AS doc_count FROM (SELECT ts AS t FROM events UNION ALL SELECT ts + INTERVAL 1 DAY FROM events) GROUP BY 1")
+on_rows("agg_nested_lists", "array(named_struct('k', event_type, 'v', value), named_struct('k', 'x', 'v', 1D)) as items", EV, {"aggs": {"n": {"nested": {"path": "items"}, "aggs": {"by": {"terms": {"field": "items.k"}}}}}}, "n > by", ["by", "doc_count"], "SELECT k AS by, count(*) AS doc_count FROM (SELECT event_type AS k FROM events UNION ALL SELECT 'x' FROM events) GROUP BY 1")
+on_rows("agg_reverse_nested", "array(named_struct('k', event_type), named_struct('k', 'x'), named_struct('k', 'x')) as items", EV, {"aggs": {"n": {"nested": {"path": "items"}, "aggs": {"by": {"terms": {"field": "items.k"}, "aggs": {"r": {"reverse_nested": {}, "aggs": {"s": {"sum": {"field": "user_id"}}}}}}}}}}, "n > by > r", ["by", "doc_count", "s"], "SELECT k AS by, count(*) AS doc_count, sum(user_id)::BIGINT AS s FROM (SELECT event_type AS k, user_id FROM events UNION ALL SELECT 'x', user_id FROM events) GROUP BY 1")
+on_rows("agg_geotile_grid", SPOT, EV, {"aggs": {"g": {"geotile_grid": {"field": "spot", "precision": 6}}}}, "g", ["g", "doc_count"], "SELECT '6/' || floor((2 + user_id / 100 + 180) / 360 * 64)::INT || '/' || floor((1 - ln(tan(radians(48 + value / 100)) + 1 / cos(radians(48 + value / 100))) / pi()) / 2 * 64)::INT AS g, count(*) AS doc_count FROM events GROUP BY 1")
+rows("script_score", EV, {"script_score": {"query": {"term": {"event_type": "view"}}, "script": {"source": "doc['value'].value"}}}, "event_id", "event_type = 'view'")
+for _type in ("most_fields", "phrase", "phrase_prefix", "bool_prefix"):
+    rows(f"multi_match_{_type}", DOC, {"multi_match": {"query": "mit license", "fields": ["text"], "type": _type}}, "doc_id", f"{word('mit')} OR {word('license')}" if _type == "most_fields" else word("mit[^\\p{L}\\p{N}_]+license") if _type == "phrase" else "regexp_matches(text, '(^|[^\\p{L}\\p{N}_])mit[^\\p{L}\\p{N}_]+license', 'i')" if _type == "phrase_prefix" else f"{word('mit')} OR regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_])license', 'i')")
+for _name, _script, _sql in (
+    ("math", "Math.floor(doc['value'].value) + Math.abs(doc['user_id'].value - 50) + Math.max(1, 2)", "floor(value) + abs(user_id - 50) + 2"),
+    ("strings", "doc['event_type'].value.toUpperCase().substring(1, 3).length() + doc['event_type'].value.indexOf('i')", "length(substr(upper(event_type), 2, 2)) + instr(event_type, 'i') - 1"),
+    ("parse", "Integer.parseInt(String.valueOf(doc['user_id'].value)) * 2", "user_id * 2"),
+    ("dates", "doc['ts'].value.plusDays(1).getDayOfMonth() + doc['ts'].value.getMonthValue()", "day(ts + INTERVAL 1 DAY) + month(ts)"),
+    ("trunc", "ChronoUnit.HOURS.between(doc['ts'].value.truncatedTo(ChronoUnit.DAYS), doc['ts'].value)", "hour(ts)"),
+):
+    hits(f"script_{_name}", EV, {"script_fields": {"x": {"script": _script}}, "sort": ["event_id"], "size": 200, "_source": ["event_id"]}, ["event_id", "cast(x as double) AS x"], f"SELECT event_id, ({_sql})::DOUBLE AS x FROM events ORDER BY event_id LIMIT 200")
+
 # ---------------------------------------------------------------- hits
 
 hits("hits_sort_page", EV, {"query": {"term": {"event_type": "view"}}, "sort": [{"value": "desc"}, {"event_id": "asc"}], "from": 5, "size": 10, "_source": ["event_id", "val*"]}, ["event_id", "value"], "SELECT event_id, value FROM events WHERE event_type = 'view' ORDER BY value DESC, event_id LIMIT 10 OFFSET 5")
