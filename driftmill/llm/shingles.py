@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .simhash import bit_counts, majority
-from .storage import written
+from .storage import small, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: Documents whose shingles give the order, shingles it knows as common, and from how many documents.
@@ -100,21 +100,22 @@ def _sketches(text: Column, words: int, similarity: float, common) -> Column:
         cut = Shingler(words)
         known, counts = common.value
         for texts in batches:
-            sets = [cut(t.as_py()) for t in texts]
-            keys = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-            first = pa.array([prefix(s, similarity, known, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            prints = np.array([majority(bit_counts(s), len(s)) for s in sets], np.uint64).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints), first], ["key", "n", "fp", "first"])
+            keys, sizes, prints, first = (np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.uint64), [])
+            for i, t in enumerate(texts):  # a set at a time: those of a batch would take much memory
+                s = cut(t.as_py())
+                keys[i], sizes[i], prints[i] = xxh64_intdigest(s.tobytes(), 42), len(s), majority(bit_counts(s), len(s))
+                first.append(prefix(s, similarity, known, counts).view(np.int64))
+            yield pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(sizes), pa.array(prints.view(np.int64)), pa.array(first, pa.list_(pa.int64()))], ["key", "n", "fp", "first"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "key long, n int, fp long, first array<long>")(text)
 
 
 def sketched(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``rows`` (rid, doc_id, text, row) with the sketch of each text in place of the text, written to the shared folder."""
+    """``rows`` (rid, doc_id, text, row) with the sketch of each text in place of it, written to the shared folder; ``row`` holds the text."""
     common = rows.sparkSession.sparkContext.broadcast(_common(rows.select("text"), words))
-    found = rows.select("rid", "doc_id", _sketches(F.col("text"), words, similarity, common).alias("x"), "text", "row")
-    return written(found.select("rid", "doc_id", "x.key", "x.n", "x.fp", "x.first", "text", "row"), "rows")
+    found = rows.select("rid", "doc_id", _sketches(F.col("text"), words, similarity, common).alias("x"), "row")
+    return written(found.select("rid", "doc_id", "x.key", "x.n", "x.fp", "x.first", "row"), "rows")
 
 
 def _spanning(up: dict[int, int], a: list[int], b: list[int]) -> pa.RecordBatch:
@@ -192,12 +193,13 @@ def verify(words: int, similarity: float):
             return _spanning(up, [keys[i] for i in a], [keys[i] for i in b])
 
         for batch in batches:
-            for root, i, j, key, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            for *place, text in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4)):
+                root, i, j, key = place
                 if (root, i, j) != block:
                     yield compare()
                     block, keys, sets = (root, i, j), [], []
                 keys.append(key)
-                sets.append(cut(text))
+                sets.append(cut(text.as_py()))
         yield compare()
 
     return run
@@ -206,14 +208,14 @@ def verify(words: int, similarity: float):
 def links(rows: DataFrame, prints: DataFrame, proposed: DataFrame, words: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of keys that connect all that pairs of the similarity connect.
 
-    ``rows``: rid, key, n, first and text; ``prints``: key and rid of one row of each key;
+    ``rows``: rid, key, n, first and text; ``prints``: key and rid of one row of each key, for equal sets count once;
     ``proposed``: pairs of keys that are compared beside those that share a shingle of their prefixes.
     """
-    met = rows.select(F.explode("first").alias("h"), "n", "key")
+    met = rows.join(prints.select("rid"), "rid", "left_semi").select(F.explode("first").alias("h"), "n", "key")
     met = met.repartition("h").sortWithinPartitions("h", "n", "key").mapInArrow(chained(similarity), "a long, b long")
     groups = written(connected_components(met.union(proposed)).withColumnRenamed("node", "key"), "groups")
     cuts = groups.groupBy("root").agg(F.ceil(F.count("*") / (BLOCK_ROWS // 2)).cast("int").alias("cuts")).withColumn("cuts", F.expr("if(cuts <= 2, 1, cuts)"))
-    members = groups.join(cuts, "root").join(prints, "key").select("rid", "key", "root", "cuts")
+    members = small(groups.join(cuts, "root").join(prints, "key").select("rid", "key", "root", "cuts"), "members")
     dealt = rows.select("rid", "text").join(members, "rid")
     dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(key), cuts) as int)")).withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)")))
     by = ["root", "i", "j"]

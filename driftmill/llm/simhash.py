@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, hot_join
-from .storage import written
+from .storage import small, written
 
 #: Shingles handled at once while a text is hashed; bounds memory on very long texts.
 SHINGLES_AT_ONCE = 1 << 16
@@ -357,7 +357,8 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: i
     for end in ("a", "b"):
         close = close.join(same.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_key")), end)
     proposed = alike.union(close.select("a_key", "b_key"))
-    found = shingles.links(rows, prints.select("key", F.col("least.rid").alias("rid")), proposed, words, similarity)
+    texts = rows.select("rid", "key", "n", "first", F.col("row").getField(text_col).cast("string").alias("text"))
+    found = shingles.links(texts, prints.select("key", F.col("least.rid").alias("rid")), proposed, words, similarity)
     heads = class_heads(prints, "key", connected_components(found)).select("key", F.col("head.rid").alias("head"))
     gone = hot_join(rows.select("rid", "key"), heads, "key", prints.select("key", "n"), "rid").where("rid <> head").select("rid")
-    return rows.join(gone, "rid", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return rows.join(small(gone, "gone"), "rid", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,6 +39,19 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are broadcast at most: some 30 MB in an executor.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, kind: str) -> DataFrame:
+    """``df``, rows of a few numbers, written; to be broadcast if it has BROADCAST_ROWS or fewer.
+
+    Adaptive execution would find out too, but only after the other side of a join had been shuffled.
+    """
+    df = written(df, kind)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def open_folder(path: str):
     """(file system, path in it) of a URI or local path."""
     from pyarrow import fs

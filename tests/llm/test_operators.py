@@ -630,6 +630,38 @@ def test_a_match_at_exactly_the_similarity_passes_the_filter(spark, k):
     assert [(r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in decontam.contaminated(d, b).collect()] == [(1, 2, 0.8)]
 
 
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    sf, duck = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "embeddings"):
+        duck.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = Q.queries()[name](spark, sf)
+    cursor = duck.execute(Q.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in df.collect()))) == sorted(map(str, cursor.fetchall()))
+
+
+@pytest.mark.parametrize("name, path, end", [("op1_token_records", BYTE, 2), ("op5_pack", WORD, 1)])
+def test_token_queries_equal_the_library(spark, name, path, end):
+    full, at = Tokenizer.from_file(path), 0
+    rows = {(r["doc_id"], r["start"]): r for r in Q.queries()[name](spark, SF).collect()}
+    texts = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    expected = {}
+    for doc, text in texts:
+        ids = np.array(full.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
+        if name == "op1_token_records":
+            expected[doc, at] = (len(ids), zlib.crc32(ids.tobytes()))
+            at += len(ids)
+        else:
+            for start, length in packing.decompose(len(ids), 2048):
+                expected[doc, start] = (len(ids), length, zlib.crc32(ids[start : start + length].tobytes()))
+    columns = ("n_tokens", "ids_crc32") if name == "op1_token_records" else ("doc_tokens", "length", "ids_crc32")
+    assert {k: tuple(r[c] for c in columns) for k, r in rows.items()} == expected
+
+
 def test_shared_folder_needs_a_setting_on_a_cluster(spark):
     class Cluster:
         class conf:
