@@ -1,11 +1,14 @@
 """Near duplicates by the exact similarity of sets of word shingles.
 
-Two sets of n and m shingles of similarity t (shared over all) share t * max(n, m) or more. So, in
-any order of all shingles, the first n - ceil(t * n) + 1 of each have one in common. The order puts
-those that are common in a sample of documents last, and it decides the cost alone: any order finds
-every pair. Sets that meet so, and whose sizes allow the similarity, are chained; each connected
-group of them is compared in full, and only pairs that reach the similarity are links. Operator 3
-adds the pairs of its fingerprints to those chains.
+Two sets of n and m shingles of similarity t (shared over all) share o = ceil(t * max(n, m)) or more.
+So, in any order of all shingles, the first n - o + l of each have l in common, and of these, in any
+other order, the first n - o + 1 have one. The first order puts shingles that are common in a sample
+of documents last, then goes by hash; l is one and an eighth of o, and the prefixes of that order
+alone are dealt by shingle. The second goes by the number of sets that hold a shingle in those
+prefixes, so that sets whose share of shingles of their own is large enough meet nobody. Orders
+decide the cost alone: any two find every pair. Sets that meet, and whose sizes allow the similarity,
+are chained; each connected group of them is compared in full, and only pairs that reach the
+similarity are links. Operator 3 adds the pairs of its fingerprints to those chains.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -22,6 +25,8 @@ from .simhash import bit_counts, majority
 from .storage import small, written
 
 WORDS, SIMILARITY = 5, 0.8
+#: The share of the shingles that two sets must have in common by which first prefixes are longer: one in so many.
+SPARE = 8
 #: Documents whose shingles give the order, shingles it knows as common, and from how many documents.
 SAMPLE_DOCUMENTS, MOST_COMMON, COMMON_FROM = 4096, 100_000, 3
 #: Sets that a task compares at once; a group with more is cut into blocks.
@@ -63,7 +68,7 @@ class Shingler:
 
 
 def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of a set of which every set of that similarity holds one in its own prefix."""
+    """The shingles of a set of which every set of that similarity holds 1 + o // SPARE in its own prefix; o: what they share."""
     n = len(shingles)
     if not n:
         return shingles
@@ -71,7 +76,8 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts:
     if len(common):
         at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
         often = np.where(common[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, often))][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+    shared = int(np.ceil(similarity * n - 1e-9))
+    return shingles[np.lexsort((shingles, often))][: n - shared + 1 + shared // SPARE]
 
 
 def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +124,18 @@ def sketched(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     return written(found.select("rid", "doc_id", "x.key", "x.n", "x.fp", "x.first", "row"), "rows")
 
 
+def meeting(rows: DataFrame, similarity: float) -> DataFrame:
+    """(h, n, key): the shingles at which sets (key, n, first) meet, those that fewest sets hold and no more than needed.
+
+    A shingle that one set alone holds takes a place of the n - o + 1 that are needed, but goes nowhere.
+    """
+    held = rows.select(F.explode("first").alias("h"), "n", "key").withColumn("df", F.count("*").over(Window.partitionBy("h")))
+    sets = held.where("df > 1").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))  # a prefix at most
+    sets = sets.withColumn("o", F.expr(f"cast(ceil({similarity!r}D * n - 1e-9D) as int)"))
+    alone = f"n - o + 1 + cast(floor(o / {SPARE}) as int) - size(x)"
+    return sets.select(F.explode(F.expr(f"slice(x, 1, greatest(n - o + 1 - ({alone}), 0))")).alias("e"), "n", "key").select("e.h", "n", "key")
+
+
 def _spanning(up: dict[int, int], a: list[int], b: list[int]) -> pa.RecordBatch:
     """Those of the pairs that join what earlier ones of the task don't."""
 
@@ -211,7 +229,7 @@ def links(rows: DataFrame, prints: DataFrame, proposed: DataFrame, words: int, s
     ``rows``: rid, key, n, first and text; ``prints``: key and rid of one row of each key, for equal sets count once;
     ``proposed``: pairs of keys that are compared beside those that share a shingle of their prefixes.
     """
-    met = rows.join(prints.select("rid"), "rid", "left_semi").select(F.explode("first").alias("h"), "n", "key")
+    met = meeting(rows.join(prints.select("rid"), "rid", "left_semi").select("first", "n", "key"), similarity)
     met = met.repartition("h").sortWithinPartitions("h", "n", "key").mapInArrow(chained(similarity), "a long, b long")
     groups = written(connected_components(met.union(proposed)).withColumnRenamed("node", "key"), "groups")
     cuts = groups.groupBy("root").agg(F.ceil(F.count("*") / (BLOCK_ROWS // 2)).cast("int").alias("cuts")).withColumn("cuts", F.expr("if(cuts <= 2, 1, cuts)"))
