@@ -14,13 +14,26 @@ from driftmill.llm.queries import pack_digest, pack_pieces, table
 from driftmill.llm.storage import fresh_path
 from driftmill.ship import ship
 
+#: Rows that Python workers get at once at most. A row is a whole text: Spark's 10 000 of them, once in
+#: the JVM and twice in each worker, take some 400 MB of an executor.
+ARROW_ROWS = 1000
+_ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers and bound their batches for this session; a lower setting stays."""
+    ship(spark)
+    now = int(spark.conf.get(_ARROW_SETTING))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(_ARROW_SETTING, str(ARROW_ROWS))
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on the labelled ones among ``docs``, doesn't reject.
 
     Null and empty texts have no sign of toxicity and stay; repeated rows fare alike; without labels all stay.
     """
-    ship(spark)
+    prepare(spark)
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -29,7 +42,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts and those without a letter have no language and go; repeated rows fare alike.
     """
-    ship(spark)
+    prepare(spark)
     return langid.keep_known(docs, langid.train(docs))
 
 
@@ -38,13 +51,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     That of the least id stays, null ids last; of repeated rows one; texts without words are one class.
     """
-    ship(spark)
+    prepare(spark)
     return simhash.keep_one(docs, words=5, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; null and empty texts hold none, repeated rows fare alike."""
-    ship(spark)
+    prepare(spark)
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -54,7 +67,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text is a sequence of the end id alone; repeated rows are packed each. The ids are
     in the folder, the rows returned tell where a sequence belongs and its checksum.
     """
-    ship(spark)
+    prepare(spark)
     return pack_digest(packing.write_buckets(pack_pieces(docs), fresh_path(spark, "sequences")))
 
 
