@@ -16,8 +16,8 @@ from array import array
 
 import numpy as np
 
-#: Entries that a worker remembers before it starts anew; bounds its memory to some 150 MB.
-MEMO_ENTRIES = 500_000
+#: Units that a worker remembers before it starts anew, and the share of that number it remembers pieces of units for.
+MEMO_ENTRIES, PIECE_SHARE = 500_000, 4
 
 #: Fixed value: the pre-tokenization pattern of byte-level BPE vocabularies.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -109,7 +109,7 @@ class WordMemoEncoder:
             if ids is None:
                 shown = piece.encode().decode("latin-1").translate(self.alphabet)
                 ids = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-                if len(known) >= self.entries:
+                if len(known) >= self.entries // PIECE_SHARE:
                     known.clear()
                 known[piece] = ids
             found.append(ids)
