@@ -32,7 +32,7 @@ SAMPLE_DOCUMENTS, MOST_COMMON, COMMON_FROM = 4096, 100_000, 3
 #: Sets that a task compares at once; a group with more is cut into blocks.
 BLOCK_ROWS = 4096
 #: Words whose hashes a task remembers.
-_REMEMBERED = 1 << 18
+_REMEMBERED = 1 << 16
 
 
 class Shingler:
