@@ -1,10 +1,11 @@
 """Rules of the engine that no SQL states: refusals, parsing, schedules, schemas, comparison."""
 
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from driftmill import pipeline_queries
 from driftmill.config import EngineConfig, Refused
 from driftmill.functions import dates, grok, kql, lucene, painless_run, text
 from driftmill.operators import alerts, dashboards, equivalence, ingest, logstash
@@ -12,6 +13,7 @@ from driftmill.plans.query import matches_needed
 from driftmill.plans.schema import from_mapping, read_console
 from driftmill.plans.search import fill, matching, pages, read_request, search
 from driftmill.sources import connectors
+from driftmill.streaming import streams
 
 NOW = datetime(2026, 3, 12, 14, 35, 10, tzinfo=UTC)
 
@@ -269,3 +271,27 @@ def test_ingest_script_with_loop(spark):
     rows = ingest.run(df, {"processors": [step]}).collect()
     assert [(r["s"], r["k"], r["n"]) for r in rows if r["s"]] == [("a b a", 2, None)]
     assert [(r["k"], r["n"], r["_ingest_error"][:13]) for r in rows if not r["s"]] == [(None, 2, "runtime error")]
+
+
+def test_stream_throttle_cut_frames_and_batches(spark, tmp_path):
+    """In the order of time within a micro-batch, also where Spark cuts a key's events into frames; counts go on in the next one."""
+    start, n = datetime(2026, 3, 8), 40
+    for part, hours in enumerate((0, 100)):
+        rows = [(part * n + i, start + timedelta(hours=hours, minutes=i), None if i % 4 == 3 else f"k{i % 4}") for i in range(n)]
+        spark.createDataFrame(rows[::-1], "id int, at timestamp, k string").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        events = spark.readStream.schema("id int, at timestamp, k string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        out = streams.collected(streams.throttle(events, F.col("k"), 3, 10**9, "at"))
+        hourly = streams.collected(streams.throttle(events, F.col("k"), 3, 3600, "at"))
+        got, each = ({r["id"]: r["throttled"] for r in x.collect()} for x in (out, hourly))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: i >= 12 for i in range(2 * n)}
+    assert each == {i: i % n >= 12 for i in range(2 * n)}
+
+
+def test_stream_rows_stay_out_of_the_driver(spark):
+    """Rows of appending streams are read from files, not from a table in the driver's memory."""
+    for name in ("stream_throttle", "stream_filters"):
+        assert pipeline_queries.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
