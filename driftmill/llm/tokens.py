@@ -2,8 +2,9 @@
 
 A tokenizer whose pre-tokenizer always splits between a visible character and a lone space gives a
 text's ids as the concatenation of the ids of its space-separated units. Units repeat, so each
-worker remembers their ids as bytes; an unknown unit goes piece by piece through the library's BPE
-model, or through its full ``encode`` where anything is unusual. A tokenizer of another kind is
+worker remembers their ids as bytes; a text's unknown units are cut into pieces together, and each
+unknown piece goes through the library's BPE model, or a unit through its full ``encode`` where
+anything is unusual. A tokenizer of another kind is
 simply applied to whole texts.
 """
 
@@ -16,7 +17,7 @@ from array import array
 
 import numpy as np
 
-#: Units that a worker remembers before it starts anew, and the share of that number it remembers pieces of units for.
+#: Units that a worker remembers at most, and the share of that number it remembers pieces of units for.
 MEMO_ENTRIES, PIECE_SHARE = 500_000, 4
 
 #: Fixed value: the pre-tokenization pattern of byte-level BPE vocabularies.
@@ -57,7 +58,9 @@ class WordMemoEncoder:
         self.dtype, self.entries = np.dtype(dtype), entries
         self.model = self.full.model
         self.alphabet = byte_alphabet()
+        # Two generations: when the younger is half of what is allowed, the older one goes; what is met again moves up.
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         added = [re.escape(t.content) for t in self.full.get_added_tokens_decoder().values()]
@@ -102,19 +105,48 @@ class WordMemoEncoder:
             unit = unit.lower() if unit.isascii() else self.full.normalizer.normalize_str(unit)
         alone = self.word if self.kind == "dropped" else self.spaced_word
         pieces = [unit] if alone(unit) else self.split(unit)
-        known = self.pieces
-        found = []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                shown = piece.encode().decode("latin-1").translate(self.alphabet)
-                ids = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-                if len(known) >= self.entries // PIECE_SHARE:
-                    known.clear()
-                known[piece] = ids
-            found.append(ids)
+        found = [self._piece(p) for p in pieces]
         return found[0] if len(found) == 1 else b"".join(found)
 
+    def _ids(self, piece: str) -> bytes:
+        if piece.isascii() and "\n" not in piece:
+            shown = piece.replace(" ", "Ġ")
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        known = self.pieces
+        ids = known.get(piece)
+        if ids is None and piece[0] == " " and self.kind == "spaced":  # perhaps it was a unit
+            ids = self.memo.get(piece[1:]) or self.older.get(piece[1:])
+        if ids is None:
+            ids = self._ids(piece)
+            if len(known) >= self.entries // PIECE_SHARE:
+                known.clear()
+            known[piece] = ids
+        return ids
+
+    def _fresh(self, units: list[str], lead: str) -> dict[str, bytes]:
+        """The ids of different units; in one go where all are plain: a word is one piece, a piece that begins with a space begins a unit."""
+        text = " " + " ".join(units)
+        if not lead or text.count(" ") != len(units) or self.odd(text) or "  " in text or "\n " in text or " \n" in text or text[-1] in " \n":
+            return {u: self._unit(lead + u) for u in units}
+        known, get, piece, out, rest = self.pieces.get, self._ids, self._piece, {}, []
+        for u in units:
+            if u.isalpha():
+                out[u] = known(" " + u) or get(" " + u)
+            else:
+                rest.append(u)
+        cut: list[bytes] = []
+        for p in self.split(" " + " ".join(rest)) if rest else ():
+            ids = known(p) or piece(p)
+            if p[0] == " ":
+                cut.append(ids)
+            else:
+                cut[-1] += ids
+        return out | dict(zip(rest, cut, strict=True))
+
     def __call__(self, text: str | None) -> bytes:
         """The ids of a whole text; null counts as empty."""
         text = text or ""
@@ -126,27 +158,29 @@ class WordMemoEncoder:
         else:
             first, *units = _LONE_SPACE.split(text) if _touching(text) else text.split(" ")
             first, lead = self._unit(first), " "
-        memo = self.memo
-        try:
-            return first + b"".join(map(memo.__getitem__, units))
-        except KeyError:
-            if len(memo) >= self.entries:
-                memo.clear()
-            fresh = {u: self._unit(lead + u) for u in set(units).difference(memo)}
-            if len(fresh) <= self.entries:
-                memo.update(fresh)
-                return first + b"".join(map(memo.__getitem__, units))
-            return first + b"".join(fresh[u] if u in fresh else memo[u] for u in units)
+        found = list(map(self.memo.get, units))
+        if None not in found:
+            return first + b"".join(found)
+        missing = dict.fromkeys(u for u, ids in zip(units, found) if ids is None)
+        older = self.older
+        fresh = {u: older[u] for u in missing if u in older}
+        if len(fresh) < len(missing):
+            fresh |= self._fresh([u for u in missing if u not in fresh], lead)
+        if len(self.memo) + len(fresh) > self.entries // 2:
+            self.memo, self.older = {}, self.memo
+        if len(fresh) <= self.entries // 2:
+            self.memo.update(fresh)
+        return first + b"".join([fresh[u] if ids is None else ids for u, ids in zip(units, found)])
 
 
 _encoders: dict[tuple, WordMemoEncoder] = {}
 
 
-def encoder(path: str, dtype: str = "<u4") -> WordMemoEncoder:
+def encoder(path: str, dtype: str = "<u4", entries: int = MEMO_ENTRIES) -> WordMemoEncoder:
     """The worker's encoder of this file, loaded once."""
-    if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = WordMemoEncoder(path, dtype)
-    return _encoders[path, dtype]
+    if (path, dtype, entries) not in _encoders:
+        _encoders[path, dtype, entries] = WordMemoEncoder(path, dtype, entries)
+    return _encoders[path, dtype, entries]
 
 
 def vocabulary_size(path: str) -> int:

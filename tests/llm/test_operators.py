@@ -45,6 +45,33 @@ def test_remembered_words_equal_the_library(path):
         assert np.frombuffer(e(t), "<u4").tolist() == full.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_common_units_outlast_new_ones():
+    """A unit that stands in every text is worked out once, however many others come and go; ids stay the library's."""
+    e, full, seen = tokens.WordMemoEncoder(BYTE, entries=40), Tokenizer.from_file(BYTE), []
+
+    class Counted:
+        def tokenize(self, shown):
+            seen.append(shown)
+            return full.model.tokenize(shown)
+
+    e.model = Counted()
+    for i in range(200):
+        e(f"a commonest {'xyz'[i % 3]}{i} w{i}, it's")
+    assert seen.count("Ġcommonest") == 1
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_of_texts_cut_together(path):
+    """Units that are cut in one go keep the ids of the library on whole texts."""
+    r = random.Random(5)
+    e, full = tokens.WordMemoEncoder(path, entries=60), Tokenizer.from_file(path)
+    parts = ["a", "word", "größe", "ªb", "don't", "'s", "x\ny", "end\n", "\nstart", "\n\n", "...", "12a", "3.5", "$$$", "ñ,", "", " ", "\t", "漢字", "é\u0301", "<|endoftext|>", "q<|endoftext|>r", "AB-cd", "\x7f", "Σ", "²³", "\xa0"]
+    for _ in range(1500):
+        t = " ".join(r.choice(parts) + r.choice(["", "", r.choice(parts), str(r.randrange(99))]) for _ in range(r.randrange(9)))
+        assert np.frombuffer(e(t), "<u4").tolist() == full.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+
 def test_crc32c():
     assert crc32c.crc32c([b"123456789", b"", b"\0" * 32, bytes(range(32)), b"\xff" * 32]).tolist() == [0xE3069283, 0, 0x8A9136AA, 0x46DD794E, 0x62A8AB43]
     assert crc32c.masked([b"123456789"]).tolist() == [((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF]
